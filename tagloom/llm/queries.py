@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import fold, squeeze
+from tagloom.llm.canonical import to_canonical
 from tagloom.llm.cooccurrence import cooccurrence
 from tagloom.llm.cross_split import overlaps_between
+from tagloom.llm.leakage import leaked
+from tagloom.llm.packing import pack, public_counter
 from tagloom.llm.set_join import expand, expand_between, similar_classes
-from tagloom.llm.term_frequency import array_term_counts, mark_by_frequency, term_counts
+from tagloom.llm.subjects import assign_subjects
+from tagloom.llm.term_frequency import array_term_counts, mark_by_frequency
 from tagloom.operators.packed import split_arrays
 
 
@@ -93,6 +97,47 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return strong.unionByName(stale)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    skills = split_arrays(_t(spark, d, "postings"), [], "job_skills", "v").select(F.explode("v").alias("raw"))
+    decided = _t(spark, d, "final_mapping").select("raw", "canonical")
+    gone = _t(spark, d, "graph_nodes").select("name").unionByName(decided.select(F.col("canonical").alias("name")))
+    return to_canonical(skills, "raw", _t(spark, d, "final_vocab").select("canonical"), decided, gone)
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that name no entry, to be reported."""
+    return p7_found(spark, d).where("canonical = ''").select("raw")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_t(spark, d, "documents"), "doc_id", "text", public_counter())
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    hits = leaked(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_items"), "item_id", "text")
+    return hits.select("doc_id", "item_id").distinct()
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: documents that carry a passage of it, and windows found in all."""
+    hits = leaked(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_items"), "item_id", "text")
+    return hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.sum("windows").alias("windows"))
+
+
+def _p10_subjects(spark: SparkSession, d: str) -> DataFrame:
+    names = sorted(r[0] for r in _t(spark, d, "subjects").select("subject").where("subject is not null").distinct().take(1000))
+    return assign_subjects(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "subject_labels"), "doc_id", "subject", "rater", names)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10_subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Composition of the corpus: documents and summed posteriors per subject."""
+    return _p10_subjects(spark, d).groupBy("subject").agg(F.count("*").alias("documents"), F.sum("posterior").alias("weight"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
@@ -101,6 +146,13 @@ QUERIES = {
     "p4_report": p4_report,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p7_found": p7_found,
+    "p7_unmatched": p7_unmatched,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_corpus": p10_corpus,
 }
 
 _FOLD = r"nullif(trim(regexp_replace(lower({}), '[\s\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{0085}}\x{{001C}}-\x{{001F}}]+', ' ', 'g')), '')"
