@@ -74,10 +74,10 @@ LEVELS = (
 )
 LEVEL_ORDER = ("junior", "mid", "senior", "staff", "lead", "principal")
 FAMILIES = (
-    ("Data & AI", ("data", "ai/ml")),
-    ("Infrastructure", ("devops", "site reliability", "cloud", "network", "system", "database")),
-    ("Security", ("security",)),
-    ("Development", ("developer", "software", "architect")),
+    ("Build software", ("Software", "Front", "Back", "Full", "Mobile", "Embedded", "QA", "Test")),
+    ("Work with data", ("Data", "AI", "ML", "Analyst")),
+    ("Run systems", ("Network", "System", "DevOps", "Security", "Database", "Reliability", "Cloud")),
+    ("Design and lead", ("Architect", "Manager")),
 )
 
 
@@ -112,4 +112,4 @@ def level_of(title: Column) -> Column:
 
 def family_of(role: Column) -> Column:
     """First family one of whose words is part of the role's name."""
-    return first_match(F.lower(role), [(n, any_of(ws)) for n, ws in FAMILIES], "Other")
+    return first_match(role, [(n, any_of(ws)) for n, ws in FAMILIES])

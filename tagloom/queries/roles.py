@@ -160,7 +160,7 @@ SELECT role, round(sum(CASE WHEN have THEN support ELSE 0 END) / sum(support), 6
     "coverage_stats": _TT + "SELECT count(*) AS n_rows, count(role) AS n_assigned, round(avg((role IS NOT NULL)::INT), 6) AS coverage, count(DISTINCT role) AS n_roles FROM tt",
     "sample_titles": _TT + """, big AS (SELECT role, count(*) AS n FROM tt WHERE role IS NOT NULL GROUP BY role ORDER BY n DESC, role LIMIT 12)
 SELECT role, job_title, row_number() OVER (PARTITION BY role ORDER BY job_title) AS rank FROM (SELECT DISTINCT role, job_title FROM tt) JOIN big USING (role) QUALIFY rank <= 4""",
-    "role_family": _TT + "SELECT role, " + _case("lower(role)", [(n, t.any_of(w)) for n, w in t.FAMILIES], _q("Other")) + " AS family FROM (SELECT DISTINCT role FROM tt WHERE role IS NOT NULL)",
+    "role_family": _TT + "SELECT role, " + _case("role", [(n, t.any_of(w)) for n, w in t.FAMILIES]) + " AS family FROM (SELECT DISTINCT role FROM tt WHERE role IS NOT NULL)",
     "scatter_points": _R + _ONE + _H + ", q AS (" + _GAP.format(e="o") + ") SELECT skill, have, least(0, floor(lift))::DOUBLE AS low, greatest(1, ceil(lift))::DOUBLE AS high FROM q ORDER BY NOT have, score DESC, skill LIMIT 18",
     "api_roles": _R + """, n AS (SELECT role, level, count(DISTINCT k) AS n FROM g GROUP BY 1, 2), c AS (SELECT role, count(*) AS c FROM re GROUP BY role)
 SELECT role, sum(n)::BIGINT AS postings, string_agg(level || '=' || n, '|' ORDER BY level || '=' || n) AS by_level, coalesce(any_value(c), 0) AS distinct_skills FROM n LEFT JOIN c USING (role) GROUP BY role""",
