@@ -9,16 +9,52 @@ from tagloom.operators import graph as g
 from tagloom.operators import matrix as m
 from tagloom.operators import profile as p
 from tagloom.operators import trends as t
+from tagloom.plans.lineage import cut
 from tagloom.plans.market import GRAPH, ROLE, items, part_nodes, table, with_
-from tagloom.queries.graph import edges, mentions, train
+from tagloom.queries import graph as base
+from tagloom.queries.graph import mentions
 from tagloom.queries.roles import have, one_role, role_edges
 from tagloom.queries.trends import _S, rank_slopes
 
 
+#: Tables of the query being built that several of its branches read.
+_written: dict = {}
+
+
+def once(f):
+    """The table that ``f`` makes, written once per query: its branches don't repeat the plan."""
+
+    def run(spark, d):
+        key = (f.__name__, d)
+        if key not in _written:
+            _written[key] = cut(f(spark, d))
+        return _written[key]
+
+    return run
+
+
+def query(f):
+    def run(spark, d):
+        _written.clear()
+        try:
+            return f(spark, d)
+        finally:
+            _written.clear()
+
+    return run
+
+
+@once
+def edges(spark, d):
+    return base.edges(spark, d)
+
+
+@once
 def nodes(spark, d):
-    return g.doc_freq(train(spark, d)).select("s")
+    return g.doc_freq(base.train(spark, d)).select("s")
 
 
+@once
 def vectors(spark, d):
     """``s, v``: the embedding of each node, by its place in the order of names."""
     n = nodes(spark, d)
@@ -27,10 +63,12 @@ def vectors(spark, d):
     return at.join(table(spark, d, "embeddings"), "vec_id").select("s", F.col("embedding").alias("v"))
 
 
+@once
 def allocation(spark, d):
     return g.resource_allocation(edges(spark, d))
 
 
+@once
 def cosine(spark, d):
     return m.cosine_pairs(vectors(spark, d).withColumnRenamed("s", "id"), -1.0, both=True)
 
@@ -39,6 +77,7 @@ def gnn(spark, d):
     return m.standardise(cosine(spark, d), nodes(spark, d)).select("i", "j", "v")
 
 
+@once
 def structural(spark, d):
     n = nodes(spark, d)
     z = m.standardise(allocation(spark, d), n)
@@ -60,6 +99,7 @@ def adaptive(spark, d, alpha=0.9, pivot=60):
     return a.select("i", "j", (F.col("w") * F.col("va") + (1 - F.col("w")) * F.col("vb")).alias("v"))
 
 
+@once
 def heuristic_scores(spark, d):
     return m.row_col_standardise(allocation(spark, d), nodes(spark, d))
 
@@ -69,6 +109,7 @@ def hybrid_scores(spark, d):
     return m.row_col_standardise(fixed(spark, d), nodes(spark, d))
 
 
+@once
 def known(spark, d):
     return have(spark, d).join(nodes(spark, d).withColumnRenamed("s", "skill"), "skill", "left_semi").select(F.col("skill").alias("s"))
 
@@ -162,6 +203,8 @@ QUERIES = {
     "api_recommend": api_recommend,
 }
 
+QUERIES = {k: query(f) for k, f in QUERIES.items()}
+
 _N = ", nd AS (SELECT s FROM df), ra AS (SELECT x.i AS i, y.i AS j, sum(1.0::DOUBLE / greatest(d, 1)) AS v FROM a x JOIN a y ON x.j = y.j JOIN deg ON deg.i = x.j GROUP BY 1, 2), cell AS (SELECT x.s AS i, y.s AS j FROM nd x, nd y), dn AS (SELECT i, j, coalesce(v, 0) AS v FROM cell LEFT JOIN ra USING (i, j))"
 _Z = "(v - avg(v) OVER ({w})) / greatest(stddev_samp(v) OVER ({w}), 1e-8)"
 _ST = ", st AS (SELECT i, j, " + _Z.format(w="") + " AS v FROM dn), rz AS (SELECT i, j, " + _Z.format(w="PARTITION BY i") + " AS v FROM dn), rc AS (SELECT i, j, " + _Z.format(w="PARTITION BY j") + " AS v FROM rz)"
