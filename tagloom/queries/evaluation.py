@@ -1 +1,94 @@
-QUERIES, ORACLE = {}, {}
+"""Evaluation of the scores on held-out postings and edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tagloom.operators import evaluation as e
+from tagloom.operators import graph as g
+from tagloom.plans.market import split_items
+from tagloom.queries.recommend import _BL, _G, _VE, allocation, edges, gnn, heuristic_scores, nodes, query, structural, vectors
+
+ALPHAS = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+
+
+def held(spark, d, split="val"):
+    return g.held_out(split_items(spark, d, split), edges(spark, d), nodes(spark, d))
+
+
+def ranks(spark, d):
+    m = e.mask(split_items(spark, d, "test").join(nodes(spark, d), "s", "left_semi"))
+    return e.target_ranks(m, e.basket_scores(m, heuristic_scores(spark, d), "v"), F.col("v"))
+
+
+def scored(spark, d):
+    """Pairs that are no train edge, with their score and whether they are held-out edges."""
+    ra = allocation(spark, d).where("i < j").select(F.col("i").alias("source"), F.col("j").alias("target"), F.round("v", 6).alias("score"))
+    free = ra.join(edges(spark, d), ["source", "target"], "left_anti")
+    return free.join(held(spark, d), ["source", "target"], "left").select("source", "target", "score", "count", F.col("count").isNotNull().alias("label"))
+
+
+def auc_by_band(spark, d):
+    """Per support band: its positives against as many negatives, the first by hash."""
+    s = scored(spark, d)
+    from pyspark.sql import Window
+
+    pos = s.where("label").withColumn("band", e.band(F.col("count")))
+    n = pos.groupBy("band").agg(F.count("*").alias("n")).where("n >= 50")
+    w = Window.orderBy(F.md5(F.concat_ws("|", "source", "target")), "source", "target")
+    neg = s.where("not label").withColumn("rn", F.row_number().over(w)).join(n, F.col("rn") <= F.col("n"))
+    both = pos.join(n, "band", "left_semi").select("band", "score", "label").unionByName(neg.select("band", "score", "label"))
+    return e.auc(both, "score", "label", "band").select("band", "auc", "n_pos")
+
+
+def alpha_sweep(spark, d):
+    """Hits and reciprocal rank for each weight; the two parts are summed once, as the blend is linear."""
+    m = e.mask(split_items(spark, d, "test").join(nodes(spark, d), "s", "left_semi"))
+    both = structural(spark, d).withColumnRenamed("v", "a").join(gnn(spark, d).withColumnRenamed("v", "b"), ["i", "j"])
+    c = e.basket_scores(m, both, "a", "b").withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
+    r = e.target_ranks(m, c, F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("b"), ("k", "alpha"))
+    return e.hits(r, "alpha")
+
+
+def _negatives(spark, d):
+    x = edges(spark, d)
+    return e.negatives(held(spark, d).select("source", "target"), g.degree(x), g.adjacency(x))
+
+
+QUERIES = {
+    "hits_mrr": lambda s, d: e.hits(ranks(s, d)),
+    "masked_rank": ranks,
+    "auc_rank": lambda s, d: e.auc(scored(s, d), "score", "label"),
+    "average_precision": lambda s, d: e.average_precision(scored(s, d), "score", "label"),
+    "auc_by_band": auc_by_band,
+    "support_bands": lambda s, d: held(s, d).groupBy(e.band(F.col("count")).alias("band")).agg(F.count("*").alias("n"), F.sum("count").alias("total")),
+    "negative_sampling": _negatives,
+    "alpha_sweep": alpha_sweep,
+    "sage_mean_aggregate": lambda s, d: e.mean_neighbours(g.adjacency(edges(s, d)), vectors(s, d)).select("i", "pos", F.round("x", 6).alias("x")),
+}
+QUERIES = {k: query(f) for k, f in QUERIES.items()}
+
+_HELD = ", hv AS (SELECT x.s AS source, y.s AS target, count(*) AS count FROM b x JOIN b y ON x.k = y.k AND x.s < y.s JOIN sp ON sp.k = x.k WHERE split = 'val' GROUP BY 1, 2), hd AS (SELECT * FROM hv WHERE count >= 3 AND source IN (SELECT s FROM nd) AND target IN (SELECT s FROM nd) AND NOT EXISTS (SELECT 1 FROM e WHERE e.source = hv.source AND e.target = hv.target))"
+_MASK = ", ti AS (SELECT b.k, b.s FROM b JOIN sp USING (k) WHERE split = 'test' AND b.s IN (SELECT s FROM nd)), mk AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY md5(k || '|' || s)) - 1 < greatest(1, count(*) OVER (PARTITION BY k) // 3) AS masked FROM ti QUALIFY count(*) OVER (PARTITION BY k) >= 4)"
+_CAND = ", ca AS (SELECT k, j, {v} FROM mk JOIN {m} m ON m.i = mk.s WHERE NOT masked AND NOT EXISTS (SELECT 1 FROM mk o WHERE o.k = mk.k AND o.s = m.j AND NOT o.masked) GROUP BY k, j)"
+_RK = _G + _MASK + _CAND.format(v="sum(v) AS v", m="rc") + ", rr AS (SELECT k, j, row_number() OVER (PARTITION BY k ORDER BY round(v, 6) DESC, j) AS rank FROM ca), fr AS (SELECT rr.k, s, rank FROM rr JOIN mk ON mk.k = rr.k AND mk.s = rr.j AND masked)"
+_HIT = "round(avg((rank <= 5)::INT), 6) AS hits_5, round(avg((rank <= 10)::INT), 6) AS hits_10, round(avg((rank <= 20)::INT), 6) AS hits_20, round(avg(1.0::DOUBLE / rank), 6) AS mrr, count(*) AS n_targets"
+_SC = _G + _HELD + ", sc AS (SELECT ra.i AS source, ra.j AS target, round(v, 6) AS score, count, count IS NOT NULL AS label FROM ra LEFT JOIN hd ON hd.source = ra.i AND hd.target = ra.j WHERE ra.i < ra.j AND NOT EXISTS (SELECT 1 FROM e WHERE e.source = ra.i AND e.target = ra.j))"
+_BAND = "CASE WHEN count BETWEEN 3 AND 5 THEN '3-5' WHEN count BETWEEN 6 AND 10 THEN '6-10' WHEN count >= 11 THEN '11+' END"
+
+ORACLE = {
+    "hits_mrr": _RK + " SELECT " + _HIT + " FROM fr",
+    "masked_rank": _RK + " SELECT * FROM fr",
+    "auc_rank": _SC + " SELECT round(sum(CASE WHEN p.score > q.score THEN 1 WHEN p.score = q.score THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) AS auc, count(DISTINCT (p.source, p.target)) AS n_pos, count(DISTINCT (q.source, q.target)) AS n_neg FROM sc p, sc q WHERE p.label AND NOT q.label",
+    "average_precision": _SC + ", w AS (SELECT score, sum(p) OVER o AS tp, sum(n) OVER o AS seen, p FROM (SELECT score, count_if(label) AS p, count(*) AS n FROM sc GROUP BY score) WINDOW o AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) SELECT round(sum(p * tp / seen::DOUBLE) / sum(p), 6) AS average_precision FROM w",
+    "auc_by_band": _SC + f""", ps AS (SELECT {_BAND} AS band, score FROM sc WHERE label), pn AS (SELECT band, count(*) AS n FROM ps GROUP BY band HAVING count(*) >= 50),
+ng AS (SELECT score, row_number() OVER (ORDER BY md5(source || '|' || target), source, target) AS rn FROM sc WHERE NOT label)
+SELECT band, round(sum(CASE WHEN ps.score > ng.score THEN 1 WHEN ps.score = ng.score THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) AS auc, any_value(n) AS n_pos FROM ps JOIN pn USING (band) JOIN ng ON rn <= n GROUP BY band""",
+    "support_bands": _G + _HELD + f" SELECT {_BAND} AS band, count(*) AS n, sum(count)::BIGINT AS total FROM hd GROUP BY 1",
+    "negative_sampling": _G + _HELD + """, db AS (SELECT i AS x, floor(ln(1 + d::DOUBLE) * 2)::INT AS b FROM deg)
+SELECT source, target, arg_min(n.x, md5(source || '|' || target || '|' || n.x)) AS negative FROM hd JOIN db t ON t.x = target JOIN db n ON n.b = t.b
+WHERE n.x <> source AND n.x <> target AND NOT EXISTS (SELECT 1 FROM a WHERE a.i = source AND a.j = n.x) GROUP BY source, target""",
+    "alpha_sweep": _G + _VE + _BL + ", bo AS (SELECT i, j, st.v AS a, gz.v AS b FROM st JOIN gz USING (i, j))" + _MASK + _CAND.format(v="sum(m.a) AS a, sum(m.b) AS b", m="bo")
+    + ", al AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in ALPHAS) + "]) AS alpha), rr AS (SELECT k, j, alpha, row_number() OVER (PARTITION BY k, alpha ORDER BY round(alpha * a + (1 - alpha) * b, 6) DESC, j) AS rank FROM ca, al) SELECT alpha, " + _HIT + " FROM rr JOIN mk ON mk.k = rr.k AND mk.s = rr.j AND masked GROUP BY alpha",
+    "sage_mean_aggregate": _G + _VE + ", ex AS (SELECT s, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS x FROM ve) SELECT i, pos::INT AS pos, round(avg(x), 6) AS x FROM a JOIN ex ON ex.s = a.j GROUP BY i, pos",
+}

@@ -65,7 +65,7 @@ def vectors(spark, d):
 
 
 #: Distance under which two vectors merge, on the embeddings table.
-LIMIT = 0.3
+LIMIT = 0.58
 
 
 def cluster_components(spark, d):

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tagloom.plans.lineage import cut
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -25,7 +27,7 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A Parquet artifact, or an empty table of its schema where it doesn't exist."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -43,8 +45,8 @@ def write_by(df: DataFrame, path: str, *by: str) -> None:
 
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     """Appends the rows whose key isn't in the artifact yet, to resume a job; returns them."""
-    old = read_or_empty(df.sparkSession, path, df.schema.simpleString()[7:-1])
-    new = df.join(old.select(key).distinct(), key, "left_anti")
+    old = read_or_empty(df.sparkSession, path, df.schema)
+    new = cut(df.join(old.select(key).distinct(), key, "left_anti"))
     new.write.mode("append").parquet(path)
     return new
 
