@@ -148,7 +148,7 @@ def complement_model(counts: np.ndarray) -> np.ndarray:
     strong[:, -1] = 0
     model = inside * strong
     model[:, -1] = (total[:, 0] + _SMOOTH) / (all_ + _SMOOTH * len(counts))
-    return model / model.sum(0)
+    return model / np.maximum(model.sum(0), 1e-300)  # a subject without labels stays empty
 
 
 def _summed(feats: DataFrame, fold, buckets: int, k: int) -> np.ndarray:
