@@ -25,7 +25,7 @@ def role_edges(rows: DataFrame, support: float, least: int = 3) -> DataFrame:
     all_ = total.agg(F.sum("total").alias("tot"))
     share = F.col("n") / F.col("total").cast("double")
     overall = F.sum("n").over(Window.partitionBy("s")) / F.col("tot").cast("double")
-    e = per.join(F.broadcast(total), "role").join(F.broadcast(all_)).withColumn("lift", F.log(share / overall))
+    e = per.join(total, "role").join(F.broadcast(all_)).withColumn("lift", F.log(share / overall))
     return e.where((F.col("n") >= least) & (share >= support)).select(F.col("s").alias("skill"), "role", F.col("n").alias("count"), F.round(share, 4).alias("support"), F.round("lift", 4).alias("lift"))
 
 

@@ -13,7 +13,7 @@ def shares(rows: DataFrame, by: str = "year", key: str = "k", tech: str = "s") -
     """``tech, year, share`` of a year's postings that hold the item."""
     total = rows.select(by, key).distinct().groupBy(by).agg(F.count("*").alias("t"))
     n = rows.groupBy(F.col(tech).alias("tech"), by).agg(F.count("*").alias("n"))
-    return n.join(F.broadcast(total), by).select("tech", F.col(by).alias("year"), (F.col("n") / F.col("t").cast("double")).alias("share"))
+    return n.join(total, by).select("tech", F.col(by).alias("year"), (F.col("n") / F.col("t").cast("double")).alias("share"))
 
 
 def fit(series: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ def heuristic_scores(spark, d):
 
 
 def hybrid_scores(spark, d):
-    """Blend, then rows and columns standardised; the blend is dense, so its z-scores are windows."""
-    return m.row_col_standardise(fixed(spark, d), nodes(spark, d))
+    """Blend, then rows and columns standardised."""
+    return m.row_col_standardise(cut(fixed(spark, d)), nodes(spark, d))
 
 
 @once

@@ -28,7 +28,7 @@ def desire(spark, d):
     back = line.where("l_returnflag = 'R'").join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("k"), F.col("p_name").alias("s")).distinct()
     total = dated(spark, d).select("year", "k").distinct().groupBy("year").agg(F.count("*").alias("t"))
     got = back.join(postings(spark, d).select("k", "year"), "k").where("year >= 1997").groupBy(F.col("s").alias("tech"), "year").agg(F.count("*").alias("n"))
-    return got.join(F.broadcast(total), "year").select("tech", "year", (F.col("n") / F.col("t").cast("double")).alias("share"))
+    return got.join(total, "year").select("tech", "year", (F.col("n") / F.col("t").cast("double")).alias("share"))
 
 
 def json_nested_explode(spark, d):
@@ -52,7 +52,7 @@ def adoption_max(spark, d):
     """Largest share of a technology in a year over the blocks (here roles) that list it."""
     r = dated(spark, d)
     total = r.select("role", "year", "k").distinct().groupBy("role", "year").agg(F.count("*").alias("t"))
-    c = r.groupBy("s", "role", "year").agg(F.count("*").alias("n")).join(F.broadcast(total), ["role", "year"])
+    c = r.groupBy("s", "role", "year").agg(F.count("*").alias("n")).join(total, ["role", "year"])
     return c.groupBy("s", "year").agg(F.round(F.max(F.col("n") / F.col("t").cast("double")), 6).alias("share"))
 
 
