@@ -32,6 +32,7 @@ _LABEL_WEIGHT = 5.0
 _DIFF = re.compile(r"^diff --git ", re.M)
 _KEPT = re.compile(r"^(?:[+-](?!\+\+ |-- ).*|diff --git .*)$", re.M)
 _PATH = re.compile(r"^diff --git \S+ ", re.M)
+_PATHS = re.compile(r"^diff --git \S+ (.*)$", re.M)
 _HEAD = re.compile(r"^(?:commit [0-9a-f]{7,}|From [0-9a-f]{7,}|From:|Author:|AuthorDate:|Commit:|CommitDate:|Date:|Merge:|Signed-off-by:|Co-authored-by:|Reviewed-by:|Acked-by:|Cc:).*$", re.M)
 
 _LETTER = np.zeros(256, bool)
@@ -51,6 +52,13 @@ def own_text(text: str) -> str:
     return message + "\n" + _PATH.sub("", "\n".join(_KEPT.findall(text, m.start())))
 
 
+def head_text(text: str) -> str:
+    """Message and paths of a commit: where it names what it is about."""
+    m = _DIFF.search(text)
+    message = _HEAD.sub("", text[: m.start()] if m else text)
+    return message + "\n" + "\n".join(_PATHS.findall(text, m.start())) if m else message
+
+
 def bucket_counts(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, bucket, count) of the words of each text, sorted; words split at capitals."""
     buf, starts = joined(texts)
@@ -71,22 +79,26 @@ def bucket_counts(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.n
 
 
 def features(docs: DataFrame, doc_id: str, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """``doc_id, ids, counts`` of each document with text; whole texts, in batches."""
+    """``doc_id, ids, counts, heads`` of each document: words, their counts, and those in message and paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                row, ids, n = bucket_counts([own_text(t) if t else "" for t in part.column(1).to_pylist()], buckets)
+                texts = part.column(1).to_pylist()
+                row, ids, n = bucket_counts([own_text(t) if t else "" for t in texts], buckets)
+                r1, i1, n1 = bucket_counts([head_text(t) if t else "" for t in texts], buckets)
+                heads = np.zeros(len(ids), np.int64)
+                heads[np.searchsorted(row * buckets + ids, r1 * buckets + i1)] = n1  # head words are among all words
                 off = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
-                n = np.minimum(n, 32767).astype(np.int16)
+                n, heads = (np.minimum(x, 32767).astype(np.int16) for x in (n, heads))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(off, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(n))],
-                    ["doc_id", "ids", "counts"],
+                    [part.column(0), pa.ListArray.from_arrays(off, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(n)), pa.ListArray.from_arrays(off, pa.array(heads))],
+                    ["doc_id", "ids", "counts", "heads"],
                 )
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null")
-    return slim.mapInArrow(run, "doc_id long, ids array<int>, counts array<short>")
+    return slim.mapInArrow(run, "doc_id long, ids array<int>, counts array<short>, heads array<short>")
 
 
 def votes(labels: DataFrame, doc_id: str, subject: str, rater: str | None, names: list[str], most: int = LABELLED) -> DataFrame:
@@ -175,23 +187,59 @@ def _add(total: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
         total[:, c] += np.bincount(ids, values[:, c], len(total))
 
 
-def evidence_features(evidence: np.ndarray) -> np.ndarray:
-    """Inputs of the calibration for each document and subject: (documents, subjects, 4)."""
-    e = evidence[:, :-1]
-    share = e / np.maximum(e.sum(1, keepdims=True), 1e-9)
-    most = e / np.maximum(e.max(1, keepdims=True), 1e-9)
-    return np.stack([np.ones_like(e), np.log1p(e), np.log((share + 0.02) / (1.02 - share)), np.log(most + 0.02)], 2)
+def evidences(model: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of each subject in the documents of a batch, and the part of it in message and paths."""
+    row, ids, tf = _flat(batch)
+    share, evidence = mixture(model, row, ids, tf, batch.num_rows)
+    head = np.log1p(np.asarray(batch.column("heads").flatten()).astype(np.float64)) / tf
+    share *= head[:, None]
+    return evidence, np.stack([np.bincount(row, share[:, c], batch.num_rows) for c in range(model.shape[1])], 1)
+
+
+def evidence_features(evidence: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Inputs of the calibration: (documents, subjects, features).
+
+    Amount and share of the evidence, in all and in message and paths, as piecewise linear
+    terms: a subject that is only mentioned has little of all, or none in the head.
+    """
+    e, h = evidence[:, :-1], head[:, :-1]
+
+    def parts(x):
+        return x / np.maximum(x.sum(1, keepdims=True), 1e-9), x / np.maximum(x.max(1, keepdims=True), 1e-9)
+
+    def bent(x, *at):
+        return [x, *(np.maximum(x - c, 0) for c in at)]
+
+    (se, me), (sh, mh), le, lh = parts(e), parts(h), np.log1p(e), np.log1p(h)
+    shares = (0.05, 0.15, 0.25, 0.35)
+    return np.stack([
+        np.ones_like(e), *bent(le, 0.3, 0.7, 1.1, 1.8), *bent(lh, 0.2, 0.4, 0.7, 1.2), *bent(se, *shares), *bent(sh, *shares),
+        me, mh, se * sh, lh * se, le * sh,
+    ], 2)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weighted logistic regression by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weighted logistic regression by Newton steps, each halved until the loss falls."""
     b = np.zeros(x.shape[1])
-    for _ in range(50):
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (b @ b))
+
+    now = loss(b)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
         step = np.linalg.solve(h, x.T @ (w * (y - p)) - ridge * b)
-        b += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-7:
+        for _ in range(30):
+            new = loss(b + step)
+            if new < now:
+                break
+            step = step / 2
+        else:
+            break
+        b, gain, now = b + step, now - new, new
+        if gain < 1e-9 * max(1.0, abs(now)):
             break
     return b
 
@@ -203,8 +251,8 @@ class SubjectModel:
         self.names, self.model, self.weights = names, model.astype(np.float32), weights
 
     def posteriors(self, batch: pa.RecordBatch) -> np.ndarray:
-        _, evidence = mixture(self.model.astype(np.float64), *_flat(batch), batch.num_rows)
-        x = evidence_features(evidence)
+        evidence, head = evidences(self.model.astype(np.float64), batch)
+        x = evidence_features(evidence, head)
         z = np.einsum("dcf,cf->dc", x, self.weights)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30))) * (evidence[:, :-1] > 0.5)
 
@@ -262,24 +310,23 @@ def fit(feats: DataFrame, labelled: DataFrame, names: list[str], rounds: int = 2
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                _, e = mixture(final, *_flat(batch), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(list(e)), batch.column("y")], ["e", "y"])
+                e, h = evidences(final, batch)
+                yield pa.RecordBatch.from_arrays([pa.array(list(e)), pa.array(list(h)), batch.column("y")], ["e", "h", "y"])
 
-    table = known.mapInArrow(evidence, "e array<double>, y array<double>").toArrow()
-    if not table.num_rows:
-        return SubjectModel(names, model, np.tile([-30.0, 0, 0, 0], (k - 1, 1)))
-    e = np.array(table.column("e").to_pylist())
-    y = np.array(table.column("y").to_pylist())
-    return SubjectModel(names, model, calibrate(e, y))
+    table = known.mapInArrow(evidence, "e array<double>, h array<double>, y array<double>").toArrow()
+    e, h, y = (np.array(table.column(c).to_pylist(), np.float64).reshape(-1, k) for c in "ehy")
+    return SubjectModel(names, model, calibrate(e, h, y))
 
 
-def calibrate(e: np.ndarray, y: np.ndarray) -> np.ndarray:
+def calibrate(e: np.ndarray, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights per subject: slopes from all subjects together, the level from each one's own labels.
 
     Raters err: the share of labels given where the evidence is beyond doubt, and where
     there is none, tells how often.  The targets are corrected for both rates.
     """
-    x, k = evidence_features(e), e.shape[1] - 1
+    x, k = evidence_features(e, h), e.shape[1] - 1
+    if not len(y):
+        return np.tile(np.concatenate([[-30.0], np.zeros(x.shape[2] - 1)]), (k, 1))
     own, sum_ = e[:, :k], e[:, :k].sum(1, keepdims=True)
     target = np.minimum(y[:, :k], 1)
     sure, clear = (own > 5) & (own > 0.9 * sum_), own < 0.05
@@ -305,5 +352,7 @@ def assign_subjects(docs: DataFrame, doc_id: str, text: str, labels: DataFrame,
     Null and empty texts have no subject; repeated ids give the rows of each; documents
     needn't be labelled.  Without usable labels no subject is given.
     """
+    if not names:
+        return docs.sparkSession.createDataFrame([], "doc_id long, subject string, posterior double")
     feats = cut(features(docs, doc_id, text))
     return fit(feats, votes(labels, label_id, label, rater, names, most), names, rounds).assign(feats, least, each)
