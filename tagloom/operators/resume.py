@@ -83,7 +83,10 @@ def header_section(line: Column) -> Column:
 def segment(ls: DataFrame) -> DataFrame:
     """``doc_id, line_no, section, line``: content lines under the last known header, else 'other'."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    s = ls.withColumn("h", header_section(F.col("line"))).withColumn("section", F.coalesce(F.last("h", ignorenulls=True).over(w), F.lit("other")))
+    # a stated number: small bytes here mean much work in the spans that follow, so these
+    # partitions must not be merged by their size
+    n = int(ls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = ls.repartition(n, "doc_id").withColumn("h", header_section(F.col("line"))).withColumn("section", F.coalesce(F.last("h", ignorenulls=True).over(w), F.lit("other")))
     return s.where("h is null").select("doc_id", "line_no", "section", "line")
 
 
@@ -92,16 +95,21 @@ def candidate_spans(line: Column) -> Column:
     body = F.regexp_replace(line, r"^[•\-*●▪]\s*", "")
     pieces = F.transform(F.split(body, r"[,;|]|\s{2,}"), lambda x: F.regexp_replace(x, r"^[ .:]+|[ .:]+$", ""))
     words = F.regexp_extract_all(body, F.lit(r"[A-Za-z0-9+#.\-]+"), F.lit(0))
-    stop = F.array(*map(F.lit, STOPWORDS))
+    marked = F.transform(words, lambda w: F.struct(w.alias("w"), F.lower(w).isin(*STOPWORDS).alias("stop")))
 
-    def runs_of(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        chunks = F.transform(starts, lambda i: F.slice(words, i, n))
-        kept = F.filter(chunks, lambda c: ~F.array_contains(stop, F.lower(F.get(c, F.lit(0)))) & ~F.array_contains(stop, F.lower(F.get(c, F.lit(n - 1)))))
-        return F.transform(kept, lambda c: F.array_join(c, " "))
+    def runs(m: Column) -> Column:
+        """Runs of every length from the words and their stop marks, which are made once per line."""
 
-    runs = [runs_of(n) for n in (1, 2, 3, 4)]
-    return F.filter(F.concat(pieces, *runs), lambda x: (F.length(x) > 1) & (F.length(x) < 40))
+        def of(n: int) -> Column:
+            starts = F.when(F.size(m) >= n, F.sequence(F.lit(1), F.size(m) - (n - 1))).otherwise(F.array().cast("array<int>"))
+            kept = F.filter(starts, lambda i: ~F.get(m, i - 1)["stop"] & ~F.get(m, i + (n - 2))["stop"])
+            return F.transform(kept, lambda i: F.array_join(F.transform(F.slice(m, i, n), lambda x: x["w"]), " "))
+
+        return F.concat(*[of(n) for n in (1, 2, 3, 4)])
+
+    # the one-element array binds the marked words to a variable, else each run would cut the line anew
+    all_ = F.concat(pieces, F.flatten(F.transform(F.array(marked), runs)))
+    return F.filter(all_, lambda x: (F.length(x) > 1) & (F.length(x) < 40))
 
 
 def resolve_index(names: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
@@ -127,7 +135,8 @@ def evidence(segmented: DataFrame, index: DataFrame) -> DataFrame:
     Words too general are credited only in sections that list skills.
     """
     w = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
-    e = segmented.select("doc_id", "line_no", "section", F.col("line").contains("*").alias("elementary"), F.posexplode(candidate_spans(F.col("line"))).alias("pos", "span"))
+    # outer: the filter that Catalyst infers for a plain explode would make the spans twice more
+    e = segmented.select("doc_id", "line_no", "section", F.col("line").contains("*").alias("elementary"), F.posexplode_outer(candidate_spans(F.col("line"))).alias("pos", "span")).where("span is not null")
     e = e.withColumn("key", normalize(F.col("span"))).join(index, "key", "left")
     general = F.lower("name").isin(*GENERIC) & ~F.col("section").isin(*GENERIC_SECTIONS)
     weight = F.round(F.element_at(w, F.col("section")) * F.when(F.col("elementary"), ELEMENTARY).otherwise(1.0), 3)

@@ -144,7 +144,7 @@ ORACLE = {
     "idx_hub_depressed": _IJ + "SELECT i, j, round(v::DOUBLE / greatest(di, dj, 1), 6) AS v FROM q",
     "neighbours_distinctive": _NB.format("pmi"),
     "neighbours_frequent": _NB.format("count"),
-    "conditional_prob": _A + ", m AS (SELECT p_name AS s, count(*) AS mentions FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT i, j, round(count::DOUBLE / mentions, 4) AS p FROM a JOIN m ON m.s = i",
+    "conditional_prob": _A + ", m AS (SELECT p_name AS s, count(*) AS mentions FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT i, j, round(count::DOUBLE / mentions + 1e-12, 4) AS p FROM a JOIN m ON m.s = i",  # ties round up, as in Spark
     "hash_split": with_("items", "b") + """SELECT CASE h WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, count(*) AS n_postings, sum(h)::BIGINT AS bucket_sum
 FROM (SELECT DISTINCT k, ('0x' || substr(md5(k::VARCHAR), 1, 8))::BIGINT % 10 AS h FROM b) GROUP BY 1""",
     "heldout_edges": _E + """, h AS (SELECT split, x.s AS source, y.s AS target, count(*) AS count FROM b x JOIN b y ON x.k = y.k AND x.s < y.s JOIN sp ON sp.k = x.k WHERE split <> 'train' GROUP BY 1, 2, 3)

@@ -127,7 +127,7 @@ QUERIES = {
     "looks_like_header": lambda s, d: r.lines(table(s, d, "documents"), "doc_id", "text").where(r.looks_like_header(F.col("line"))),
     "segment_carry_forward": segmented,
     "section_counts": lambda s, d: segmented(s, d).groupBy("section").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs")),
-    "candidate_spans": lambda s, d: segmented(s, d).select("doc_id", "line_no", F.explode(r.candidate_spans(F.col("line"))).alias("span")).groupBy("doc_id", "span").agg(F.count("*").alias("n")),
+    "candidate_spans": lambda s, d: segmented(s, d).select("doc_id", "line_no", F.explode_outer(r.candidate_spans(F.col("line"))).alias("span")).where("span is not null").groupBy("doc_id", "span").agg(F.count("*").alias("n")),
     "resume_weights": lambda s, d: evidence(s, d).where("name is not null").groupBy("section", "elementary", "weight").agg(F.count("*").alias("n")),
     "resume_best_evidence": best,
     "resume_by_section": resume_by_section,
