@@ -62,6 +62,16 @@ def join_aggregate(
     return j.select(*out)
 
 
+def per_left_row(joined: DataFrame, *states: str) -> DataFrame:
+    """Adds ``rows``: the left rows behind the joined ones, each counted once.
+
+    A left row stands in ``max(n_right, 1)`` rows of a left join, so its joined rows and
+    the ``states`` that were multiplied with them are divided by that number, exactly.
+    """
+    copies = F.greatest("n_right", F.lit(1))
+    return joined.withColumns({"rows": F.expr("n_joined div greatest(n_right, 1)"), **{s: F.col(s) / copies for s in states}})
+
+
 def roll_up(joined: DataFrame, by: Column, states: Mapping[str, str]) -> DataFrame:
     """Roll the states of :func:`join_aggregate` up to coarser keys: ``key, n_left, n_right, n_joined`` and states."""
     kept = ["n_left", "n_right", "n_joined"]

@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Candidate delimiters: name -> regular expression valid in Java and in Python.
+#: Candidate delimiters: name -> regular expression.  Some separate values, others stand
+#: inside them; which ones do is inferred for each source.
 CANDIDATES: dict[str, str] = {
     "comma": r",",
     "semicolon": r";",
@@ -27,90 +30,167 @@ CANDIDATES: dict[str, str] = {
     "line": r"[\n\r]",
     "bullet": r"[•‣▪●·◦]",
     "slash": r"(?<=\s)/(?=\s)",
+    "ampersand": r"(?<=\s)&(?=\s)",
+    "plus": r"(?<=\s)\+(?=\s)",
+    "colon": r":(?=\s)",
+    "dot": r"(?<=[^\s\d])\.(?=\s)",
+    "dash": r"(?<=[ \t])[-–—](?=[ \t])",
+    "and": r"(?<=\s)(?:and|or)(?=\s)",
+    "gap": r"(?<=\S)[ \u00a0]{2,}(?=\S)",
 }
+#: Candidates whose marks are single characters, wherever they stand.
+_PLAIN = {"comma": ",", "semicolon": ";", "pipe": "|", "tab": "\t", "line": "\n\r", "bullet": "•‣▪●·◦"}
 
 STYLES = ("list", "numbered", "bulleted", "plain")
+#: Least score of an accepted delimiter.
+LEAST_SCORE = 0.4
+#: Rows that a candidate's score over all sources counts for in each of them.
+_PRIOR = 2.0
 
-_QUOTED = r'"(?:[^"\\]|\\[\s\S]|"")*+"|“[^”]*+”'
-_MARK = {"comma": ",", "semicolon": ";", "pipe": "|", "tab": "\t"}
+_QUOTED = re.compile(r'"(?:[^"\\]|\\[\s\S]|"")*+"|“[^”]*+”')
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What needs more than a split at single characters: quotes, slashes, list marks at the start.
+_INTRICATE = rf'["“/]|^[{_SPACES}]*(?:\d{{1,6}}[.)]|[-*–—•][{_SPACES}]|\[)'
 
 _ENUM = re.compile(r"\s*(\d{1,6})([.)])\s+")
 _DASH = re.compile(r"\s*[-*–—]\s+")
 _UNESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[\s\S])")
 _CONTROL = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
-
-def packing_style(value: Column) -> Column:
-    """Wrapper style of a packed string: list, numbered, bulleted or plain."""
-    return (
-        F.when(value.rlike(r"^\s*\[[\s\S]*\]\s*$"), "list")
-        .when(value.rlike(r"^\s*1[.)]\s"), "numbered")
-        .when(value.rlike(r"^\s*[-*–—•]\s"), "bulleted")
-        .otherwise("plain")
-    )
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b"\0\t\n\x0b\x0c\r ")] = True
+
+
+def _at(buf: np.ndarray, *chars: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of some characters in a buffer of UTF-8."""
+    found = []
+    for c in map(str.encode, chars):
+        at = np.flatnonzero(buf == c[0])
+        for i, byte in enumerate(c[1:], 1):
+            at = at[buf[np.minimum(at + i, len(buf) - 1)] == byte]
+        found.append((at, at + len(c)))
+    return np.concatenate([a for a, _ in found]), np.concatenate([z for _, z in found])
+
+
+def _marks(buf: np.ndarray, blank: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a candidate's marks in a buffer of texts: what its pattern finds, by bytes."""
+    last = len(buf) - 1
+    # the end of a text is no white space, yet nothing either
+    space = blank & (buf != 0)
+    before, after = (lambda a: space[np.maximum(a - 1, 0)] & (a > 0)), (lambda z: space[np.minimum(z, last)])
+    if name in _PLAIN:
+        return _at(buf, *_PLAIN[name])
+    if name == "gap":
+        a, z = _at(buf, " ", "\u00a0")
+        order = np.argsort(a)
+        a, z = a[order], z[order]
+        run = np.flatnonzero(np.concatenate([[True], a[1:] != z[:-1]])) if len(a) else np.empty(0, np.int64)
+        n, a, z = np.diff(np.append(run, len(a))), a[run], z[np.append(run[1:], len(z)) - 1] if len(a) else z
+        keep = (n > 1) & (a > 0) & ~blank[np.maximum(a - 1, 0)] & ~blank[np.minimum(z, last)]
+    elif name == "and":
+        a = np.flatnonzero(space[:-1]) + 1
+        n = np.select([(buf[a] == o) & (buf[np.minimum(a + 1, len(buf) - 1)] == r) & (e == 0 or buf[np.minimum(a + 2, len(buf) - 1)] == e) for o, r, e in (b"or\0", b"and")], [2, 3], 0)
+        a, z = a[n > 0], (a + n)[n > 0]
+        keep = after(z)
+    else:
+        a, z = _at(buf, *{"slash": "/", "ampersand": "&", "plus": "+", "colon": ":", "dot": ".", "dash": "-–—"}[name])
+        keep = after(z)
+        if name == "dot":
+            left = buf[np.maximum(a - 1, 0)]
+            keep &= (a > 0) & ~blank[np.maximum(a - 1, 0)] & ~((left >= 48) & (left <= 57))
+        elif name != "colon":
+            keep &= before(a)
+    return a[keep], z[keep]
+
+
+def _piece_counts(texts: list[str]) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(candidate, rows, separations, kept pieces, regular pieces) of the rows that hold each candidate.
+
+    Separations are the non-empty pieces less one; a piece is regular if it looks like
+    one item: at most sixty bytes in four words.
+    """
+    coded = [t.encode("utf-8", "replace") for t in texts]
+    raw = b"\0".join(coded) + b"\0"
+    buf = np.frombuffer(raw, np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])]).astype(np.int64)
+    blank = _BLANK[buf]
+    filled = np.concatenate([[0], np.cumsum(~blank)])
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    words = np.concatenate([[0], np.cumsum(begins)])
+    out = []
+    for name in CANDIDATES:
+        a, z = _marks(buf, blank, name)
+        if not len(a):
+            continue
+        rows, row = np.unique(np.searchsorted(starts, a, side="right") - 1, return_inverse=True)
+        left, right = np.sort(np.concatenate([starts[rows], z])), np.sort(np.concatenate([starts[rows + 1] - 1, a]))
+        of = np.searchsorted(starts[rows], left, side="right") - 1
+        kept = filled[right] > filled[left]
+        regular = kept & (words[right] - words[left] <= 4) & (right - left <= 60)
+        n = np.bincount(of[kept], minlength=len(rows))
+        if (n > 1).any():
+            out.append((name, rows, np.maximum(n - 1, 0), n, np.bincount(of[regular], minlength=len(rows))))
+    return out
 
 
 def delimiter_scores(df: DataFrame, value: str, source: Column | None = None) -> DataFrame:
     """Score of each candidate delimiter per source, over all rows of ``df``.
 
     Columns ``source, delimiter, rows, consistency, regularity, score``.  Only the text
-    outside quotes counts.  *Consistency* is the share of the rows holding the delimiter
-    in which at least half of its marks yield a non-empty piece (stray marks leave few);
-    *regularity* is the share of pieces that look like one item: short, not a sentence.
+    outside quotes counts.  *Consistency* says how well a candidate's piece counts agree
+    with the rows': the values that it alone separates, as a share of those that the
+    row's best candidate separates, on average over the rows that hold it.  A delimiter
+    explains most of a row's values; a mark that stands inside values splits off one or
+    two.  *Regularity* is the share of its pieces that look like one item.  Both lean
+    towards the candidate's figure over all sources where a source has few rows.
     Null values are ignored; an empty table gives no rows.  Each batch is reduced to its
     sums before anything is shuffled.
     """
     v = F.col(value)
-    style = packing_style(v) if source is None else source
-    base = df.where(v.isNotNull() & (v != "")).select(style.cast("string").alias("source"), v.alias("v"))
+    given = F.coalesce(source.cast("string"), F.lit("")) if source is not None else F.lit("")
+    base = df.where(v.isNotNull() & (v != "")).select(given.alias("source"), v.alias("v"))
+    by_style = source is None
+    names = ["rows", "agreeing", "pieces", "regular"]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks, finders = re.compile(_QUOTED), {k: re.compile(x) for k, x in CANDIDATES.items()}
-        sums: dict[tuple, list[int]] = {}
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for src, text in zip(batch["source"], batch["v"]):
-                if '"' in text or "“" in text:
-                    text = masks.sub("Q", text)
-                for name, find in finders.items():
-                    if name != "bullet" and name != "line" and name != "slash" and _MARK[name] not in text:
-                        continue
-                    parts = find.split(text)
-                    if len(parts) == 1:
-                        continue
-                    kept = [x for x in map(str.strip, parts) if x]
-                    s = sums.setdefault((src, name), [0, 0, 0, 0])
-                    s[0] += 1
-                    s[1] += 2 * len(kept) >= len(parts) - 1
-                    s[2] += len(kept)
-                    s[3] += sum(len(x) <= 80 and x.count(" ") < 9 for x in kept)
-        yield pd.DataFrame([(*k, *s) for k, s in sums.items()], columns=["source", "delimiter", "rows", "whole", "pieces", "regular"])
-
-    return (
-        base.mapInPandas(partial, "source string, delimiter string, rows long, whole long, pieces long, regular long")
-        .groupBy("source", "delimiter")
-        .agg(
-            F.sum("rows").alias("rows"),
-            (F.sum("whole") / F.sum("rows")).alias("consistency"),
-            F.coalesce(F.try_divide(F.sum("regular"), F.sum("pieces")), F.lit(0.0)).alias("regularity"),
-        )
-        .withColumn("score", F.col("consistency") * F.col("regularity"))
-    )
-
-
-def infer_delimiters(df: DataFrame, value: str, least: float = 0.3, source: Column | None = None) -> dict[str, list[str]]:
-    """Accepted delimiters per source.
-
-    The table fetched has at most one row per source and candidate: the sources of the
-    default are the four wrapper styles.  With an own ``source`` column its number of
-    distinct values must be small; more than 10,000 rows raise ``ValueError``.
-    """
-    rows = delimiter_scores(df, value, source).where(F.col("score") >= least).select("source", "delimiter").take(10_001)
-    if len(rows) > 10_000:
-        raise ValueError("too many sources; pass a coarser source column")
-    accepted: dict[str, list[str]] = {}
-    for s, d in rows:
-        accepted.setdefault(s, []).append(d)
-    return {s: [d for d in CANDIDATES if d in ds] for s, ds in accepted.items()}
+            if not batch.num_rows:
+                continue
+            texts = batch.column(1).to_pylist()
+            sources = (pa.array([_style(t) for t in texts], pa.string()) if by_style else batch.column(0)).dictionary_encode()
+            code, k = np.asarray(sources.indices), len(sources.dictionary)
+            texts = [_QUOTED.sub("Q", t) if '"' in t or "“" in t else t for t in texts]
+            counted = _piece_counts(texts)
+            most = np.ones(len(texts))
+            for _, rows, n, _, _ in counted:
+                most[rows] = np.maximum(most[rows], n)
+            for name, rows, n, pieces, regular in counted:
+                held = n > 0
+                sums = [np.bincount(code[rows][held], w[held], k) for w in (np.ones(len(rows)), n / most[rows], pieces, regular)]
+                at = np.flatnonzero(sums[0])
+                yield pa.RecordBatch.from_arrays([sources.dictionary.take(pa.array(at)), pa.array([name] * len(at), pa.string()), *[pa.array(s[at]) for s in sums]], ["source", "delimiter", *names])
+
+    sums = base.mapInArrow(partial, "source string, delimiter string, " + ", ".join(f"{n} double" for n in names)).groupBy("source", "delimiter").agg(*[F.sum(n).alias(n) for n in names])
+    over_all = sums.groupBy("delimiter").agg((F.sum("agreeing") / F.sum("rows")).alias("c"), F.try_divide(F.sum("regular"), F.sum("pieces")).alias("r"), (F.sum("pieces") / F.sum("rows")).alias("p"))
+    n, p = F.col("rows"), F.col("p")
+    return sums.join(over_all, "delimiter").select(
+        "source", "delimiter", n.cast("long").alias("rows"),
+        ((F.col("agreeing") + _PRIOR * F.col("c")) / (n + _PRIOR)).alias("consistency"),
+        ((F.col("regular") + _PRIOR * p * F.col("r")) / (F.col("pieces") + _PRIOR * p)).alias("regularity"),
+    ).withColumn("score", F.col("consistency") * F.col("regularity"))
+
+
+def accepted_delimiters(df: DataFrame, value: str, least: float = LEAST_SCORE, source: Column | None = None) -> DataFrame:
+    """``source, delimiters``: the accepted delimiters of each source, in the order of the candidates."""
+    order = F.array(*map(F.lit, CANDIDATES))
+    got = delimiter_scores(df, value, source).where(F.col("score") >= least).groupBy("source").agg(F.collect_set("delimiter").alias("d"))
+    return got.select("source", F.filter(order, lambda x: F.array_contains("d", x)).alias("delimiters"))
+
+
+def infer_delimiters(df: DataFrame, value: str, least: float = LEAST_SCORE) -> dict[str, list[str]]:
+    """Accepted delimiters of each wrapper style: four rows at most are fetched."""
+    return {s: list(d) for s, d in accepted_delimiters(df, value, least).collect()}
 
 
 def _unescape(m: re.Match) -> str:
@@ -237,59 +317,122 @@ def split_list(text: str, plain: Splitter) -> list[str]:
     return [e for e in (e.strip() for e in out) if e]
 
 
+_BULLETED = re.compile(r"[-*–—•]\s[^\n•]*(?:\n\s*(?:[-*–—•]\s[^\n•]*)?)*")
+
+
 def _style(text: str) -> str:
+    """Wrapper style: list, numbered, bulleted (each line begins with a mark and holds no second one) or plain."""
     t = text.strip()
     if t[:1] == "[" and t[-1:] == "]":
         return "list"
     if t[:1] == "1" and re.match(r"1[.)]\s", t):
         return "numbered"
-    return "bulleted" if re.match(r"[-*–—•]\s", t) else "plain"
+    return "bulleted" if t[:1] in "-*–—•" and _BULLETED.fullmatch(t) else "plain"
+
+
+def _split_plain(texts: pa.Array, marks: str) -> pa.ListArray:
+    """Pieces between single characters, trimmed, the empty ones dropped."""
+    parts = pc.split_pattern_regex(texts, f"[{re.escape(marks)}]")
+    flat = pc.utf8_trim(parts.flatten(), _SPACES)
+    kept = np.asarray(pc.not_equal(flat, "")).astype(bool)
+    off = np.concatenate([[0], np.cumsum(kept)])[np.asarray(parts.offsets) - parts.offsets[0].as_py()]
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), flat.filter(pa.array(kept)))
+
+
+class _Rows:
+    """Splits rows of text; the delimiters of a row are those of its style, or given with it."""
+
+    def __init__(self, accepted: dict[str, list[str]] | None):
+        self.accepted = accepted
+        self.made: dict[tuple[str, ...], Splitter] = {}
+
+    def splitter(self, delimiters) -> Splitter:
+        key = tuple(delimiters or ())
+        if key not in self.made:
+            if len(self.made) >= 1000:  # many sources: those made first are made again when needed
+                self.made.clear()
+            self.made[key] = Splitter(list(key))
+        return self.made[key]
+
+    def one(self, text: str, delimiters=None) -> list[str]:
+        style = _style(text)
+        s = self.splitter(self.accepted.get(style) if self.accepted is not None else delimiters)
+        return split_list(text, s) if style == "list" else s(text)
+
+    def by_style(self, texts: pa.Array) -> pa.ListArray:
+        """Rows of the plain style without quotes are split together, the others one by one."""
+        texts = pc.fill_null(texts, "")
+        plain = self.accepted.get("plain", [])
+        if not all(d in _PLAIN or d == "slash" for d in plain) or not plain:
+            return pa.array([self.one(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+        hard = np.asarray(pc.match_substring_regex(texts, _INTRICATE)).astype(bool)
+        easy = _split_plain(texts.filter(pa.array(~hard)), "".join(_PLAIN[d] for d in plain if d in _PLAIN))
+        rest = pa.array([self.one(t) for t in texts.filter(pa.array(hard)).to_pylist()], pa.list_(pa.string()))
+        place = np.empty(len(texts), np.int64)
+        place[~hard], place[hard] = np.arange(len(easy)), len(easy) + np.arange(len(rest))
+        return pa.concat_arrays([easy, rest]).take(pa.array(place))
 
 
 def split_udf(accepted: dict[str, list[str]]):
-    """Arrow-batched function string -> array<string> for the accepted delimiters."""
-    every = list(CANDIDATES)
+    """Arrow function string -> array<string> for the delimiters accepted for each wrapper style."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        by_style = {s: Splitter(accepted.get(s, every)) for s in STYLES}
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rows = _Rows(accepted)
+        for texts in batches:
+            yield rows.by_style(texts)
 
-        def one(x):
-            if not x:
-                return []
-            s = _style(x)
-            return split_list(x, by_style[s]) if s == "list" else by_style[s](x)
+    return split
 
-        for batch in batches:
-            yield pd.Series([one(x) for x in batch], dtype=object)
+
+def split_with_udf():
+    """Arrow function (string, delimiters) -> array<string>, for rows that bring their delimiters."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def split(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        rows = _Rows(None)
+        for texts, delimiters in batches:
+            yield pa.array([rows.one(t, d) if t else [] for t, d in zip(texts.to_pylist(), delimiters.to_pylist())], pa.list_(pa.string()))
 
     return split
 
 
-def split_arrays(df: DataFrame, keys: list[str], value: str, out: str = "values", accepted: dict[str, list[str]] | None = None) -> DataFrame:
+def split_arrays(df: DataFrame, keys: list[str], value: str, out: str = "values", accepted: dict[str, list[str]] | None = None, source: Column | None = None) -> DataFrame:
     """The ``keys`` and the packed values of each row as one array, in order; null fields give an empty array.
 
-    For use before an aggregation that needs no row per value; otherwise as :func:`split_packed`.
+    Delimiters are inferred per wrapper style, or per ``source`` where that is given: the
+    accepted ones are then joined to the rows, so any number of sources will do.
     """
-    slim = df.select(*keys, F.col(value).alias("__packed"))
+    slim = df.select(*keys, F.col(value).alias("__packed"), *([F.coalesce(source.cast("string"), F.lit("")).alias("__source")] if source is not None else []))
+    if source is not None:
+        found = accepted_delimiters(slim, "__packed", source=F.col("__source")).withColumnRenamed("source", "__source")
+        return slim.join(found, "__source", "left").select(*keys, split_with_udf()("__packed", "delimiters").alias(out))
     if accepted is None:
         accepted = infer_delimiters(slim, "__packed")
     return slim.select(*keys, split_udf(accepted)("__packed").alias(out))
 
 
-def split_packed(df: DataFrame, keys: list[str], value: str, out: str = "value", accepted: dict[str, list[str]] | None = None) -> DataFrame:
+def unpacked(df: DataFrame, value: str, accepted: dict[str, list[str]] | None = None) -> tuple[DataFrame, Callable[[], Callable[[pa.Array], pa.ListArray]]]:
+    """The packed column alone, and a maker of the function that splits its Arrow arrays.
+
+    For operators whose own Arrow function reads the values: they are split where they
+    are used and don't travel once more.
+    """
+    slim = df.select(F.col(value).alias("packed"))
+    known = infer_delimiters(slim, "packed") if accepted is None else accepted
+    return slim, lambda: _Rows(known).by_style
+
+
+def split_packed(df: DataFrame, keys: list[str], value: str, out: str = "value", accepted: dict[str, list[str]] | None = None, source: Column | None = None) -> DataFrame:
     """One row per packed value: the ``keys``, ``pos`` (from 1, kept values) and ``out``.
 
     Quotes, escapes, brackets, bullets and list numbers that belong to the packing are
     removed, white space of any kind is trimmed at both ends and empty values are
     dropped.  Nothing separates inside quotes.  Null, blank and empty fields give no
     row; repeated values are all kept; very long fields are split in linear time.  Other
-    columns of ``df`` are ignored, so clashing names don't matter.
+    columns of ``df`` are ignored, so clashing names don't matter.  ``source`` says where
+    a row comes from; a null source is one of its own.
     """
-    slim = df.select(*keys, F.col(value).alias("__packed"))
-    if accepted is None:
-        accepted = infer_delimiters(slim, "__packed")
-    kept = slim.where(F.col("__packed").isNotNull())
-    return kept.select(*keys, F.posexplode(split_udf(accepted)("__packed")).alias("__pos", out)).select(
-        *keys, (F.col("__pos") + 1).cast("int").alias("pos"), out
-    )
+    filled = df.where(F.col(value).isNotNull())
+    arrays = split_arrays(filled, keys, value, "__values", accepted, source)
+    return arrays.select(*keys, F.posexplode("__values").alias("__pos", out)).select(*keys, (F.col("__pos") + 1).cast("int").alias("pos"), out)

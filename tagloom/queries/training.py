@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.text import fold
-from tagloom.operators.eager import heavy_keys, join_aggregate
+from tagloom.operators.eager import heavy_keys, join_aggregate, per_left_row, roll_up
 from tagloom.operators.packed import split_packed
+from tagloom.plans.lineage import cut
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,7 +30,13 @@ def p5_companies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return heavy_keys(p5_companies(spark, d), "n_left", 0.02).select(F.col("key").alias("company"))
+    """The joined states by spelling, rolled up to companies; each clean row counts once, whatever it joins."""
+    clean, postings = _t(spark, d, "postings_clean"), _t(spark, d, "postings")
+    low = F.lower("company")
+    by_spelling = per_left_row(join_aggregate(clean, postings, low, low, how="left"))
+    # written: one row per company, read for the total and for the shares
+    companies = cut(roll_up(by_spelling, fold(F.col("key")), {"rows": "sum"}))
+    return heavy_keys(companies, "rows", 0.02).select(F.col("key").alias("company"))
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_companies": p5_companies}

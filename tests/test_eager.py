@@ -32,3 +32,25 @@ def test_states_must_differ(spark):
     a = spark.range(1)
     with pytest.raises(ValueError):
         join_aggregate(a, a, F.col("id"), F.col("id"), {"x": ("sum", F.col("id"))}, {"x": ("sum", F.col("id"))})
+
+
+def test_heavy_companies_come_through_the_join(spark):
+    """The plan of p5_found reads both tables and joins their states; rows without a partner count too."""
+    from tagloom.operators.eager import per_left_row
+    from tagloom.queries import QUERIES
+
+    a = spark.createDataFrame([("x",)] * 4 + [("y",)] * 2 + [(None,)], "k string")
+    b = spark.createDataFrame([("x",)] * 3, "k string")
+    got = {r["key"]: r["rows"] for r in per_left_row(join_aggregate(a, b, F.col("k"), F.col("k"), how="left")).collect()}
+    assert got == {"x": 4, "y": 2, None: 1}
+
+    seen = []
+    from tagloom.queries import training
+
+    keep, training.cut = training.cut, lambda df: seen.append(df) or df
+    try:
+        QUERIES["p5_found"](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        training.cut = keep
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and plan.count("FileScan parquet") == 2 and "postings.parquet" in plan and "postings_clean.parquet" in plan
