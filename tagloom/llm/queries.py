@@ -11,10 +11,11 @@ from tagloom.llm.cooccurrence import cooccurrence
 from tagloom.llm.cross_split import overlaps_between
 from tagloom.llm.leakage import leaked
 from tagloom.llm.packing import pack, public_counter
-from tagloom.llm.set_join import expand, expand_between, similar_classes
+from tagloom.llm.set_join import class_links, expand, expand_between, similar_classes
 from tagloom.llm.subjects import assign_subjects
 from tagloom.llm.term_frequency import array_term_counts, mark_by_frequency
-from tagloom.operators.packed import split_arrays
+from tagloom.operators.packed import split_arrays, unpacked
+from tagloom.plans.lineage import cut
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -27,6 +28,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return expand(pairs, of).toDF("clean_id_a", "clean_id_b")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each posting with its class of equal sets and the number of postings it is similar to."""
+    clean = _t(spark, d, "postings_clean").select("clean_id", "company", "skills")
+    return class_links(*similar_classes(clean, "clean_id", "skills", 0.6, group=fold(F.col("company")))).withColumnRenamed("id", "clean_id")
+
+
 def _split_side() -> Column:
     """0 for train, 1 for val and test, null for any other split."""
     split = fold(F.col("split"))
@@ -44,14 +51,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Per split and company: evaluation rows, those that recur in train, and their train rows."""
+    """Per split and company: evaluation rows, those that recur in train, their train rows, and the exact copies among these."""
     clean = _t(spark, d, "postings_clean").select("clean_id", fold(F.col("split")).alias("split"), fold(F.col("company")).alias("company"))
-    hits = _p4_pairs(spark, d).groupBy("b").agg(F.count("*").alias("pairs"))
+    same = F.expr("overlap = size_a and overlap = size_b")
+    hits = _p4_pairs(spark, d).groupBy("b").agg(F.count("*").alias("pairs"), F.count_if(same).alias("exact"), F.sum("spans").alias("spans"), F.max("longest").alias("longest"))
     held = clean.where(F.col("split").isin("val", "test"))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return (
         held.join(hits, held["clean_id"] == hits["b"], "left")
         .groupBy("split", "company")
-        .agg(F.count("*").alias("n_rows"), F.count("b").alias("n_leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"))
+        .agg(F.count("*").alias("n_rows"), F.count("b").alias("n_leaked"), n("pairs").alias("n_pairs"), n("exact").alias("n_exact"), n("spans").alias("n_spans"), F.coalesce(F.max("longest"), F.lit(0)).alias("longest_span"))
     )
 
 
@@ -63,9 +72,10 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p3_counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    packed = split_arrays(_t(spark, d, "postings"), [], "job_skills", "v")
-    counts = array_term_counts(packed, F.transform("v", lambda x: F.lower(squeeze(x))))
-    return counts, packed.agg(F.count(F.when(F.size("v") > 0, 1)).alias("total"))
+    packed, unpack = unpacked(_t(spark, d, "postings"), "job_skills")
+    # one row per term, written as both the terms and the total are read from it
+    counts = cut(array_term_counts(packed, F.col("packed"), unpack, lambda x: " ".join(x.split()).lower(), with_total=True))
+    return counts.where("term is not null"), counts.where("term is null").agg(F.sum("records").alias("total"))
 
 
 def p3_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -82,19 +92,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence(_train(spark, d), F.col("skills"))
+    pairs = cooccurrence(_train(spark, d), F.col("skills"))
+    return pairs.select("source", "target", "n_ab", "n_a", "n_b", "n", F.round("pmi", 6).alias("pmi"), F.round("llr", 4).alias("llr"), "significant")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = p6_pairs(spark, d)
-    strong = pairs.where("n_ab >= 5 and n_ab * n >= 4 * n_a * n_b").select("source", "target", F.lit("strong").alias("mark"))
+    """Strong pairs, all of which are significant at this bound, and stale edges; the stripes are made once."""
+    pairs = cooccurrence(_train(spark, d), F.col("skills")).select("source", "target", "n_ab", "n_a", "n_b", "n", "pmi", "significant")
     edges = _t(spark, d, "graph_edges").where("source is not null and target is not null")
     edges = edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), F.col("count").alias("c"), F.nanvl("pmi", F.lit(None)).alias("p"))
-    now = edges.join(pairs.select("source", "target", "n_ab", "pmi"), ["source", "target"], "left").withColumn("n_ab", F.coalesce("n_ab", F.lit(0)))
+    published = edges.select("source", "target", F.lit(True).alias("published")).distinct()
+    strong = F.col("significant") & F.expr("n_ab >= 5 and n_ab * n >= 4 * n_a * n_b")
+    # what either mark needs: the strong pairs and those with an edge
+    now = cut(pairs.join(published, ["source", "target"], "left").withColumn("strong", strong).where("strong or published"))
+    seen = edges.join(now.select("source", "target", "n_ab", "pmi"), ["source", "target"], "left").withColumn("n_ab", F.coalesce("n_ab", F.lit(0)))
     off = F.col("c").isNull() | (F.col("c") != F.col("n_ab"))
     off |= F.when(F.col("n_ab") > 0, F.col("p").isNull() | (F.abs(F.col("p") - F.col("pmi")) > 0.001)).otherwise(F.col("p").isNotNull())
-    stale = now.where(off).select("source", "target", F.lit("stale").alias("mark")).distinct()
-    return strong.unionByName(stale)
+    stale = seen.where(off).select("source", "target", F.lit("stale").alias("mark")).distinct()
+    return now.where("strong").select("source", "target", F.lit("strong").alias("mark")).unionByName(stale)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -140,6 +155,7 @@ def p10_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p3_found": p3_found,
     "p3_terms": p3_terms,
     "p4_found": p4_found,

@@ -14,7 +14,9 @@ from tagloom.llm import canonical, cross_split, leakage, packing, subjects, term
 from tagloom.llm.cooccurrence import cooccurrence  # noqa: E402
 from tagloom.llm.queries import ORACLE, QUERIES  # noqa: E402
 from tagloom.llm.set_blocks import ratio  # noqa: E402
-from tagloom.llm.set_join import expand, expand_between, similar_classes  # noqa: E402
+from tagloom.llm import cooccurrence as together  # noqa: E402
+from tagloom.llm import set_blocks  # noqa: E402
+from tagloom.llm.set_join import class_links, expand, expand_between, similar_classes  # noqa: E402
 from tagloom.operators.packed import split_packed  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
@@ -68,41 +70,107 @@ def brute(rows, th, same_group, sides):
 SCHEMA = "id long, company string, skills array<string>, side int"
 
 
-@pytest.mark.parametrize("bounds", [{}, {"cell_rows": 3, "block_rows": 10}])
+BOUNDS = [{}, {"cell_rows": 3, "block_rows": 10}]
+
+
+def all_pairs(parts):
+    pairs, of = parts
+    return [(r["a"], r["b"]) for r in expand(pairs, of).collect()]
+
+
+def both_sides(parts):
+    return [(r["a"], r["b"]) for r in expand_between(*parts).collect()]
+
+
+@pytest.mark.parametrize("bounds", BOUNDS)
 @pytest.mark.parametrize("th", [0.5, 0.6, 0.8, 1.0])
 def test_similar_pairs(spark, th, bounds):
     rows = random_sets(160, 5)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("rep", F.lit(1)).withColumn("toks", F.lit(1))
-    got = [tuple(r) for r in expand(*similar_classes(df, "id", "skills", th, group=F.col("company"), **bounds)).collect()]
+    got = all_pairs(similar_classes(df, "id", "skills", th, group=F.col("company"), **bounds))
     assert len(got) == len(set(got)) and set(got) == brute(rows, th, True, False)
-    got = [tuple(r) for r in expand_between(*similar_classes(df, "id", "skills", th, side=F.col("side"), **bounds)).collect()]
+    got = both_sides(similar_classes(df, "id", "skills", th, side=F.col("side"), **bounds))
     assert len(got) == len(set(got)) and set(got) == brute(rows, th, False, True)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"cell_rows": 3, "block_rows": 10}])
+@pytest.mark.parametrize("bounds", BOUNDS)
 @pytest.mark.parametrize("th", [0.6, 0.8, 1.0])
 def test_cross_split(spark, th, bounds):
     rows = random_sets(160, 6)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = [tuple(r) for r in expand_between(*cross_split.overlaps_between(df, "id", "skills", F.col("side"), th, **bounds)).collect()]
+    got = both_sides(cross_split.overlaps_between(df, "id", "skills", F.col("side"), th, **bounds))
     assert len(got) == len(set(got)) and set(got) == brute(rows, th, False, True)
 
 
+@pytest.mark.parametrize("long,top", [(6, 20_000), (400, 4), (0, 4)])
+def test_sets_that_travel_without_tokens_and_unknown_tokens(spark, monkeypatch, long, top):
+    """Long sets, and tokens whose frequency the tasks don't know, give the same pairs."""
+    monkeypatch.setattr(set_blocks, "LONG", long)
+    monkeypatch.setattr(set_blocks, "TOP_TOKENS", top)
+    rows = random_sets(120, 9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for bounds in BOUNDS:
+        got = all_pairs(similar_classes(df, "id", "skills", 0.6, group=F.col("company"), **bounds))
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 0.6, True, False)
+        got = both_sides(cross_split.overlaps_between(df, "id", "skills", F.col("side"), 0.8, **bounds))
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 0.8, False, True)
+
+
+def test_a_set_of_many_tokens_is_routed_small(spark):
+    many = [f"t{i}" for i in range(30_000)]
+    rows = [(1, "a", many, 0), (2, "a", many[:-10], 1), (3, "a", many[:20_000], 1), (4, "a", many[:9], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(all_pairs(similar_classes(df, "id", "skills", 0.6))) == [(1, 2), (1, 3), (2, 3)]
+    assert both_sides(cross_split.overlaps_between(df, "id", "skills", F.col("side"), 0.8)) == [(1, 2)]
+
+
+def test_large_classes_are_paired_in_parts(spark, monkeypatch):
+    from tagloom.llm import set_join
+
+    monkeypatch.setattr(set_join, "CLASS_ROWS", 3)
+    df = spark.createDataFrame([(i, "a", ["x", "y"], 0) for i in range(10)] + [(10, "a", ["x", "y", "z"], 0)], SCHEMA)
+    parts = similar_classes(df, "id", "skills", 0.6)
+    got = all_pairs(parts)
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(11) for j in range(i + 1, 11)}
+    assert {(r["id"], r["rep"], r["copies"], r["links"]) for r in class_links(*parts).collect()} == {(i, 0, 10, 10) for i in range(10)} | {(10, 10, 1, 10)}
+
+
+def test_maximal_matches(spark):
+    """Spans are the runs that stand together in both sequences, in the order of rareness."""
+    filler = [(i, "a", [f"u{j}" for j in range(i % 10 + 1)], 0) for i in range(100, 200)]
+    rows = [(1, "a", [f"u{j}" for j in range(10)], 1), (2, "a", [f"u{j}" for j in range(10) if j != 4], 0)]
+    df = spark.createDataFrame(rows + filler, SCHEMA)
+    pairs, _ = cross_split.overlaps_between(df.where("id < 100 or size(skills) < 7"), "id", "skills", F.col("side"), 0.8)
+    got = pairs.where("a = 2").first()
+    assert (got["overlap"], got["spans"], got["longest"]) == (9, 2, 5)
+
+
 def test_joins_on_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert expand(*similar_classes(df, "id", "skills", 0.6)).count() == 0
-    assert expand_between(*cross_split.overlaps_between(df, "id", "skills", F.col("side"), 0.8)).count() == 0
+    assert all_pairs(similar_classes(df, "id", "skills", 0.6)) == []
+    assert both_sides(cross_split.overlaps_between(df, "id", "skills", F.col("side"), 0.8)) == []
 
 
 def test_full_text_index_finds_every_run():
     r = np.random.default_rng(1)
     seqs = [r.integers(0, 4, r.integers(1, 12)) for _ in range(50)]
-    ix = cross_split.FullTextIndex(np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]))
+    ix = cross_split.FullTextIndex(np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]), sample=3)
     for _ in range(100):
-        p = r.integers(0, 5, r.integers(1, 5))
+        p = r.integers(0, 4, r.integers(1, 5))
         lo, hi = ix.search(p, np.array([len(p) - 1]), np.array([len(p)]))
-        want = sum(s[i : i + len(p)].tolist() == p.tolist() for s in seqs for i in range(len(s) - len(p) + 1))
-        assert max(hi[0] - lo[0], 0) == want
+        want = {(k, i) for k, s in enumerate(seqs) for i in range(len(s) - len(p) + 1) if s[i : i + len(p)].tolist() == p.tolist()}
+        got = ix.locate(np.arange(lo[0], max(hi[0], lo[0])))
+        assert set(zip(*map(list, got))) == want
+    lo, hi = ix.search(np.array([-1, 2]), np.array([1]), np.array([2]))
+    assert lo[0] >= hi[0]
+
+
+def test_full_text_index_is_smaller_than_its_text():
+    r = np.random.default_rng(2)
+    sizes = r.integers(5, 15, 20_000)
+    codes = r.integers(0, 4000, sizes.sum())
+    ix = cross_split.FullTextIndex(codes, np.concatenate([[0], np.cumsum(sizes)]))
+    assert ix.nbytes < 4 * (len(codes) + len(sizes))
 
 
 def test_longest_run_bound():
@@ -129,6 +197,8 @@ def test_term_counts(spark):
     assert got == {"a": (4, 3), "b": (1, 1)}
     long = df.select("id", F.explode("v").alias("t"))
     assert {r["term"]: (r["occurrences"], r["records"]) for r in term_frequency.term_counts(long, "id", F.col("t")).collect()} == {"a": (4, 2), "b": (1, 1)}
+    both = {r["term"]: (r["occurrences"], r["records"]) for r in term_frequency.array_term_counts(df, F.col("v"), clean=str.upper, with_total=True).collect()}
+    assert both == {"A": (4, 3), "B": (1, 1), None: (0, 3)}
     marks = term_frequency.mark_by_frequency(term_frequency.array_term_counts(df, F.col("v")), spark.createDataFrame([(3,)], "total long"), 2, 0.5)
     assert {r["term"]: r["mark"] for r in marks.collect()} == {"a": "common", "b": "rare"}
     assert term_frequency.array_term_counts(df.limit(0), F.col("v")).count() == 0
@@ -147,6 +217,31 @@ def test_cooccurrence(spark):
     assert cooccurrence(df.limit(0), F.col("skills")).count() == 0
 
 
+@pytest.mark.parametrize("top,pairs", [(20_000, 2_000_000), (3, 2_000_000), (5, 40), (0, 7)])
+def test_cooccurrence_in_parts(spark, monkeypatch, top, pairs):
+    """Bounds on what tasks hold and know don't change the counts."""
+    monkeypatch.setattr(together, "TOP_ITEMS", top)
+    monkeypatch.setattr(together, "STRIPE_PAIRS", pairs)
+    r = random.Random(3)
+    sets = [r.sample([f"i{k}" for k in range(25)], r.randint(1, 12)) for _ in range(150)]
+    want = {}
+    for s in sets:
+        for a, b in itertools.combinations(sorted(s), 2):
+            want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame([(s,) for s in sets], "skills array<string>").repartition(5)
+    rows = cooccurrence(df, F.col("skills")).collect()
+    assert {(x["source"], x["target"]): x["n_ab"] for x in rows} == want and len(rows) == len(want)
+    long = [s for s in sets if len(s) > 1]
+    assert all(x["n_a"] == sum(x["source"] in s for s in long) and x["n_b"] == sum(x["target"] in s for s in long) and x["n"] == len(long) for x in rows)
+
+
+def test_strong_pairs_are_significant():
+    """Five joint records at four times the chance exceed the bound of p6_found, so it drops none."""
+    for n_ab in range(5, 200):
+        e = n_ab / 4
+        assert 2 * (n_ab * np.log(4) - (n_ab - e)) > together.SIGNIFICANT
+
+
 def test_canonical(spark):
     ref = spark.createDataFrame([("Stoplus",), ("Stoplus++",), ("Kranum 2",), ("Layered Sharding",), ("Samax.js",), ("Plopest/Paedeck",), ("Tag, Sort & Shelve",), (None,)], "canonical string")
     decided = spark.createDataFrame([("ls", "Layered Sharding"), ("team", None), ("oldie", "Zisand Classic"), (None, "Stoplus")], "raw string, canonical string")
