@@ -14,7 +14,7 @@ from tagloom.llm.packing import pack, public_counter
 from tagloom.llm.set_join import class_links, expand, expand_between, similar_classes
 from tagloom.llm.subjects import assign_subjects
 from tagloom.llm.term_frequency import array_term_counts, mark_by_frequency
-from tagloom.operators.packed import split_arrays, unpacked
+from tagloom.operators.packed import unpacked
 from tagloom.plans.lineage import cut
 
 
@@ -113,10 +113,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    skills = split_arrays(_t(spark, d, "postings"), [], "job_skills", "v").select(F.explode("v").alias("raw"))
+    packed, unpack = unpacked(_t(spark, d, "postings"), "job_skills")
+    skills = array_term_counts(packed, F.col("packed"), unpack).select("term")
     decided = _t(spark, d, "final_mapping").select("raw", "canonical")
     gone = _t(spark, d, "graph_nodes").select("name").unionByName(decided.select(F.col("canonical").alias("name")))
-    return to_canonical(skills, "raw", _t(spark, d, "final_vocab").select("canonical"), decided, gone)
+    return to_canonical(skills, "term", _t(spark, d, "final_vocab").select("canonical"), decided, gone)
 
 
 def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:

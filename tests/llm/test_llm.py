@@ -243,23 +243,59 @@ def test_strong_pairs_are_significant():
 
 
 def test_canonical(spark):
-    ref = spark.createDataFrame([("Stoplus",), ("Stoplus++",), ("Kranum 2",), ("Layered Sharding",), ("Samax.js",), ("Plopest/Paedeck",), ("Tag, Sort & Shelve",), (None,)], "canonical string")
+    ref = spark.createDataFrame([("Rackt",), ("Stoplus",), ("Stoplus++",), ("Kranum 2",), ("Layered Sharding",), ("Samax.js",), ("Plopest/Paedeck",), ("Tag, Sort & Shelve",), (None,)], "canonical string")
     decided = spark.createDataFrame([("ls", "Layered Sharding"), ("team", None), ("oldie", "Zisand Classic"), (None, "Stoplus")], "raw string, canonical string")
     gone = spark.createDataFrame([("Zisand Classic",), ("Stopluz",), (None,)], "name string")
     want = {
         "advanced stoplus": "Stoplus", "STOPLUS++ (2+ yrs)": "Stoplus++", "Kranum-2 v18.8": "Kranum 2", "Kranum 3": "", "layered_sharding": "Layered Sharding",
         "LayeredSharding": "Layered Sharding", "Layered Shardign": "Layered Sharding", "samaxjs": "Samax.js", "Samax js.": "Samax.js", "plopest/paedekk": "Plopest/Paedeck",
-        "Tag, Sort and Shelve": "Tag, Sort & Shelve", "ls": "Layered Sharding", "team": "", "oldie": "", "zisand classic suite": "", "Zisand Clasic": "", "Stopluz": "",
-        "Nothing Known": "", "": "", "   ": "", "skills": "", "x" * 5000: "",
+        "Tag, Sort and Shelve": "Tag, Sort & Shelve", "ls": "Layered Sharding", "team": "", "oldie": "", "Zisand Clasic": "", "Stopluz": "",
+        "Nothing Known": "", "": "", "   ": "", "skills": "", "x" * 5000: "", "Tag, Sort, Shelve": "Tag, Sort & Shelve", "Räckt": "Rackt", "rakct": "Rackt", "layered shelve": "",
     }
+    # what teaches the phrases: several entries with each of them
+    taught = [f"{b}{n}{a}" for n in ("Rackt", "Layered Sharding", "Samax.js", "Plopest/Paedeck") for b, a in (("advanced ", ""), ("", " (3+ yrs)"), ("", " v1.2"))]
+    want |= {x: next(n for n in ("Rackt", "Layered Sharding", "Samax.js", "Plopest/Paedeck") if n in x) for x in taught}
     df = spark.createDataFrame([(x,) for x in [*want, *want, None]], "raw string").withColumn("key", F.lit(1))
-    for at_once in (100_000, 3):
+    for at_once in (100_000, 3, 1):
         got = {r["raw"]: r["canonical"] for r in canonical.to_canonical(df, "raw", ref, decided, gone, at_once=at_once).collect()}
         assert got == want
     assert {r["canonical"] for r in canonical.to_canonical(df, "raw", ref.limit(0)).collect()} == {""}
     assert canonical.to_canonical(df.limit(0), "raw", ref).count() == 0
 
 
+def test_shards_don_t_change_ties(spark):
+    ref = spark.createDataFrame([("Alpha Betanode",), ("Alphas Betanode",), ("Alphaz Gammanode",), ("Betanode",)], "name string")
+    df = spark.createDataFrame([("Alphaz Betanode",), ("Alphaq Betanode",), ("Betanode Alpha",), ("betamode",)], "raw string")
+    got = [sorted(tuple(r) for r in canonical.to_canonical(df, "raw", ref, at_once=k).collect()) for k in (100, 2, 1)]
+    assert got[0] == got[1] == got[2] and ("Alphaq Betanode", "Alpha Betanode") in got[0] and ("betamode", "Betanode") in got[0]
+
+
+def test_phrases_come_from_the_values(spark):
+    names = ["Kubernetes", "Python", "Java", "Rust", "Terraform", "MySQL"]
+    ref = spark.createDataFrame([(n,) for n in [*names, "MySQL Workbench", "Java Card"]], "name string")
+    said = [x.format(n) for n in names for x in ("{} guru", "expert in {}", "knows {} well", "{} well", "knows {}")] + ["Blorb Suite", "Frob Suite", "Java Card guru"]
+    df = spark.createDataFrame([(x,) for x in [*said, "Pyton", "Javva", "Rustt", "expert in Pyhton", "Workbench MySQL", "Java Suite", "Card"]], "raw string")
+    got = {r["raw"]: r["canonical"] for r in canonical.to_canonical(df, "raw", ref).collect()}
+    assert all(got[x] == next(n for n in names if n in x) for x in said if "Suite" not in x and "Card" not in x)
+    assert got["Java Card guru"] == "Java Card" and got["Blorb Suite"] == "" == got["Java Suite"] == got["Card"]
+    assert (got["Pyton"], got["Javva"], got["Rustt"], got["expert in Pyhton"], got["Workbench MySQL"]) == ("Python", "Java", "Rust", "Python", "MySQL Workbench")
+
+
+def test_token_repair_misses_nothing():
+    r = random.Random(8)
+    words = {"".join(r.choices("abc1", k=r.choice([3, 5, 7, 11, 37, 39, 41, 60]))) for _ in range(150)}
+    find = canonical.TokenRepair(words)
+    for w in list(words)[:80]:
+        t = list(w)
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(t))
+            r.choice([lambda: t.insert(i, "a"), lambda: t.pop(i) if len(t) > 1 else None, lambda: t.__setitem__(i, "b"), lambda: t.__setitem__(slice(i, i + 2), t[i : i + 2][::-1])])()
+        t = "".join(t)
+        digits = lambda x: x.count("1")
+        want = {(x, d) for x in words if (d := canonical.edit_distance(t, x)) <= canonical.allowed_edits(max(len(x), len(t))) and digits(x) == digits(t)}
+        assert set(find(t)) == want
+
+
 def test_earlier_decisions_are_found_without_them(spark):
     m = spark.read.parquet(f"{DATA}/final_mapping.parquet").where("canonical is not null")
     v = spark.read.parquet(f"{DATA}/final_vocab.parquet").select("canonical")
