@@ -13,7 +13,6 @@ counted, and the pair is verified by its exact overlap.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from tagloom.llm.set_blocks import Block, as_sets, pairs_batch, pairs_by_cell, ranges
 
 
-@lru_cache(None)
 def shortest_run(m: int, num: int, den: int) -> int:
     """Length of the run that a set of m shares at least with any partner at the threshold.
 

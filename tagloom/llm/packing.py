@@ -39,7 +39,8 @@ class OpenBins:
             free = size + (above & -above).bit_length() - 1
             b = self._take(free)
         else:
-            if self.open >= self.most:
+            # an item that fills a bin leaves none open, so none is closed for it
+            if size < self.capacity and self.open >= self.most:
                 self._take((self.bits & -self.bits).bit_length() - 1)
             b, free = self.made, self.capacity
             self.made += 1

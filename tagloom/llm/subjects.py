@@ -1,16 +1,20 @@
 """Subject areas of documents: complement naive Bayes, EM over all documents, calibration.
 
 1. Words are hashed to a fixed number of buckets; each document keeps its bucket counts.
-2. Labelled documents give word counts per subject; complement naive Bayes compares each
-   subject with all others, so a subject with few labels isn't drowned.
-3. Expectation-maximization over all documents: each document is a mixture of subjects
-   and a background, since it may have two; every word is shared among them.
-4. For each subject the evidence of the labelled documents is calibrated to a posterior of
-   its own by logistic regression; posteriors needn't add up to one.
+2. Complement naive Bayes is trained on labelled documents: for each subject a word has the
+   ratio of its share in the subject's documents to its share in all others, so a subject
+   with few labels isn't drowned.
+3. Expectation-maximization over all documents refines it: a document may have several
+   subjects, so each of its words is shared among them and none by the classifier's
+   ratios and the document's own mixture; the shares are the next round's counts.
+4. For each subject the evidence of the labelled documents, each classified by a model from
+   which its own words are taken out, is calibrated to a posterior of its own by logistic
+   regression; posteriors needn't add up to one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,6 +32,12 @@ LABELLED = 50_000
 _SMOOTH = 0.1
 #: Weight of a labelled document among the unlabelled ones in EM.
 _LABEL_WEIGHT = 5.0
+#: Prior log odds of a word against each subject.
+_AGAINST = 0.5
+#: Ratio of words that a subject's documents hold less than half a time.
+_ABSENT = math.exp(-3.0)
+#: Subjects at most: the model has a column for each.
+MOST_SUBJECTS = 1000
 
 _DIFF = re.compile(r"^diff --git ", re.M)
 _KEPT = re.compile(r"^(?:[+-](?!\+\+ |-- ).*|diff --git .*)$", re.M)
@@ -71,7 +81,7 @@ def bucket_counts(texts: list[str | None], buckets: int = BUCKETS) -> tuple[np.n
     c3[1:] = buf[:-1] == 0xC3
     low = np.where(c3 & (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97), low + 32, low).astype(np.uint8)
     h, at, length = run_hashes(low, letter, begins)
-    keep = (length >= 3) & (length <= 40)
+    keep = length >= 3  # shorter runs of letters are no words
     h, at = h[keep], at[keep]
     code = (np.searchsorted(starts, at, side="right") - 1) * buckets + (h % np.uint64(buckets)).astype(np.int64)
     code, n = np.unique(code, return_counts=True)
@@ -91,14 +101,14 @@ def features(docs: DataFrame, doc_id: str, text: str, buckets: int = BUCKETS) ->
                 heads = np.zeros(len(ids), np.int64)
                 heads[np.searchsorted(row * buckets + ids, r1 * buckets + i1)] = n1  # head words are among all words
                 off = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
-                n, heads = (np.minimum(x, 32767).astype(np.int16) for x in (n, heads))
+                n, heads = n.astype(np.int32), heads.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(off, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(n)), pa.ListArray.from_arrays(off, pa.array(heads))],
                     ["doc_id", "ids", "counts", "heads"],
                 )
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).where("doc_id is not null")
-    return slim.mapInArrow(run, "doc_id long, ids array<int>, counts array<short>, heads array<short>")
+    return slim.mapInArrow(run, "doc_id long, ids array<int>, counts array<int>, heads array<int>")
 
 
 def votes(labels: DataFrame, doc_id: str, subject: str, rater: str | None, names: list[str], most: int = LABELLED) -> DataFrame:
@@ -126,41 +136,44 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, ids, np.log1p(n)
 
 
-def mixture(model: np.ndarray, row: np.ndarray, ids: np.ndarray, tf: np.ndarray, rows: int, rounds: int = 4, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(words' shares, documents' evidence): each word of a document split among the subjects.
+def complement_ratios(counts: np.ndarray, sizes: np.ndarray | None = None, buckets: int | None = None) -> np.ndarray:
+    """The classifier: for each word and subject P(word | subject) / P(word | other documents), with the prior odds.
 
-    model: P(word | subject), background last.  ``prior`` holds the documents' known
-    shares; without it they are estimated by a few rounds of EM within each document.
+    counts: words by subjects, the documents of no subject last; ``sizes`` and ``buckets``
+    those of the whole table where only some of its rows are given.
     """
-    p = model[ids]
-    k = model.shape[1]
+    sizes = counts.sum(0) if sizes is None else sizes
+    buckets = len(counts) if buckets is None else buckets
+    total, all_ = counts.sum(1, keepdims=True), sizes.sum()
+    inside = (counts + _SMOOTH) / (sizes + _SMOOTH * buckets)
+    outside = (total - counts + _SMOOTH) / (all_ - sizes + _SMOOTH * buckets)
+    ratio = inside / outside * math.exp(-_AGAINST)
+    return np.where(counts < 0.5, _ABSENT, ratio)[:, :-1]
+
+
+def shares(ratio: np.ndarray, row: np.ndarray, tf: np.ndarray, rows: int, rounds: int = 4, prior: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(words' shares, documents' evidence): each word of a document split among the subjects and none, last.
+
+    ratio: for each word of the batch what the classifier says.  ``prior`` holds the
+    documents' known mixtures; without it they are estimated by a few rounds of EM within
+    each document.
+    """
+    p = np.concatenate([ratio, np.ones((len(ratio), 1), ratio.dtype)], 1)
+    k = p.shape[1]
     theta = np.full((rows, k), 1.0 / k) if prior is None else prior
+    share, evidence = np.zeros_like(p), np.zeros((rows, k))
     for _ in range(rounds if prior is None else 1):
         share = p * theta[row]
-        share /= np.maximum(share.sum(1, keepdims=True), 1e-300)
-        share *= tf[:, None]
+        share *= (tf / np.maximum(share.sum(1), 1e-300))[:, None]
         evidence = np.stack([np.bincount(row, share[:, c], rows) for c in range(k)], 1)
         theta = (evidence + 0.05) / (evidence.sum(1, keepdims=True) + 0.05 * k)
     return share, evidence
 
 
-def complement_model(counts: np.ndarray) -> np.ndarray:
-    """P(word | subject) sharpened by complement naive Bayes; background last.
-
-    counts: words by subjects, the documents of no subject last.  A word whose share in a
-    subject doesn't exceed its share in the complement belongs to the background.
-    """
-    total = counts.sum(1, keepdims=True)
-    size, all_ = counts.sum(0), counts.sum()
-    inside = (counts + _SMOOTH) / (size + _SMOOTH * len(counts))
-    outside = (total - counts + _SMOOTH) / (all_ - size + _SMOOTH * len(counts))
-    weight = np.log(inside / outside)
-    strong = 1.0 / (1.0 + np.exp(-2.0 * (weight - 1.0)))
-    strong[counts < 0.5] = 0
-    strong[:, -1] = 0
-    model = inside * strong
-    model[:, -1] = (total[:, 0] + _SMOOTH) / (all_ + _SMOOTH * len(counts))
-    return model / np.maximum(model.sum(0), 1e-300)  # a subject without labels stays empty
+def _mixture_of(y: np.ndarray) -> np.ndarray:
+    """Mixtures of labelled documents: what the raters gave, and as much of none."""
+    prior = np.concatenate([y[:, :-1] / np.maximum(y.sum(1, keepdims=True), 1e-9), np.ones((len(y), 1))], 1) + 1e-6
+    return prior / prior.sum(1, keepdims=True)
 
 
 def _summed(feats: DataFrame, fold, buckets: int, k: int) -> np.ndarray:
@@ -174,12 +187,17 @@ def _summed(feats: DataFrame, fold, buckets: int, k: int) -> np.ndarray:
         at = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(total[at, c]) for c in range(k)]], ["b", *[f"c{c}" for c in range(k)]])
 
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((buckets, k), np.float32)
+        for batch in batches:
+            out[np.asarray(batch.column(0))] = np.stack([np.asarray(batch.column(c + 1)) for c in range(k)], 1)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["table"])
+
     schema = "b int, " + ", ".join(f"c{c} double" for c in range(k))
     rows = feats.mapInArrow(run, schema).groupBy("b").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(k)])
-    table = rows.toArrow()  # buckets rows at most
-    out = np.zeros((buckets, k))
-    out[np.asarray(table.column("b"))] = np.stack([np.asarray(table.column(f"c{c}")) for c in range(k)], 1)
-    return out
+    # one task, buckets rows at most; what the driver gets is of the same size for any corpus
+    table = rows.repartition(1).mapInArrow(dense, "table binary").collect()
+    return np.frombuffer(table[0][0], np.float32).reshape(buckets, k).astype(np.float64) if table else np.zeros((buckets, k))
 
 
 def _add(total: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
@@ -187,13 +205,18 @@ def _add(total: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
         total[:, c] += np.bincount(ids, values[:, c], len(total))
 
 
+def _in_head(batch: pa.RecordBatch, row: np.ndarray, tf: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The part of the evidence that stands in message and paths."""
+    head = np.log1p(np.asarray(batch.column("heads").flatten()).astype(np.float64)) / tf
+    share = share * head[:, None]
+    return np.stack([np.bincount(row, share[:, c], batch.num_rows) for c in range(share.shape[1])], 1)
+
+
 def evidences(model: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Evidence of each subject in the documents of a batch, and the part of it in message and paths."""
     row, ids, tf = _flat(batch)
-    share, evidence = mixture(model, row, ids, tf, batch.num_rows)
-    head = np.log1p(np.asarray(batch.column("heads").flatten()).astype(np.float64)) / tf
-    share *= head[:, None]
-    return evidence, np.stack([np.bincount(row, share[:, c], batch.num_rows) for c in range(model.shape[1])], 1)
+    share, evidence = shares(model[ids], row, tf, batch.num_rows)
+    return evidence, _in_head(batch, row, tf, share)
 
 
 def evidence_features(evidence: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -251,21 +274,21 @@ class SubjectModel:
         self.names, self.model, self.weights = names, model.astype(np.float32), weights
 
     def posteriors(self, batch: pa.RecordBatch) -> np.ndarray:
-        evidence, head = evidences(self.model.astype(np.float64), batch)
-        x = evidence_features(evidence, head)
-        z = np.einsum("dcf,cf->dc", x, self.weights)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))) * (evidence[:, :-1] > 0.5)
+        z = np.einsum("dcf,cf->dc", evidence_features(*evidences(self.model, batch)), self.weights)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def assign(self, feats: DataFrame, least: float = 0.5, most: int = 2) -> DataFrame:
-        """``doc_id, subject, posterior`` where the subject's own posterior reaches ``least``; its ``most`` best."""
+    def assign(self, feats: DataFrame, least: float = 0.5, each: int | None = None) -> DataFrame:
+        """``doc_id, subject, posterior`` where the subject's own posterior reaches ``least``; the ``each`` best where that is given."""
         table = pa.array(self.names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     p = self.posteriors(batch)
-                    nth = np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1)
-                    d, c = np.nonzero((p >= least) & (nth < most))
+                    ok = p >= least
+                    if each is not None:
+                        ok &= np.argsort(np.argsort(-p, axis=1, kind="stable"), axis=1) < each
+                    d, c = np.nonzero(ok)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(d)), table.take(pa.array(c)), pa.array(p[d, c])], ["doc_id", "subject", "posterior"])
 
         return feats.mapInArrow(run, "doc_id long, subject string, posterior double")
@@ -284,38 +307,53 @@ def fit(feats: DataFrame, labelled: DataFrame, names: list[str], rounds: int = 2
         y = y_of(batch)
         _add(total, ids, tf[:, None] * (y / np.maximum(y.sum(1, keepdims=True), 1e-9))[row])
 
-    first = _summed(known, count, buckets, k)
-    model = complement_model(first)
-
-    def supervised(batch, total, model=None):
+    def supervised(batch, total, model):
         row, ids, tf = _flat(batch)
-        y = y_of(batch)
-        prior = np.concatenate([y[:, :-1] / np.maximum(y.sum(1, keepdims=True), 1e-9), np.ones((len(y), 1))], 1) + 1e-6
-        share, _ = mixture(model, row, ids, tf, batch.num_rows, prior=prior / prior.sum(1, keepdims=True))
+        share, _ = shares(model[ids], row, tf, batch.num_rows, prior=_mixture_of(y_of(batch)))
         _add(total, ids, share)
 
-    def unsupervised(batch, total, model=None):
+    def unsupervised(batch, total, model):
         row, ids, tf = _flat(batch)
-        share, _ = mixture(model, row, ids, tf, batch.num_rows)
+        share, _ = shares(model[ids], row, tf, batch.num_rows)
         _add(total, ids, share)
 
+    counts = _summed(known, count, buckets, k)
+    model = before = complement_ratios(counts)
     for _ in range(rounds):
-        held = model
-        taught = _summed(known, lambda b, t, m=held: supervised(b, t, m), buckets, k)
-        counts = _summed(feats, lambda b, t, m=held: unsupervised(b, t, m), buckets, k) + (_LABEL_WEIGHT - 1) * taught
-        model = complement_model(counts)
-
-    final = model
+        before = model.astype(np.float32)
+        taught = _summed(known, lambda b, t, m=before: supervised(b, t, m), buckets, k)
+        counts = _summed(feats, lambda b, t, m=before: unsupervised(b, t, m), buckets, k) + (_LABEL_WEIGHT - 1) * taught
+        model = complement_ratios(counts)
+    sizes, all_counts, last = counts.sum(0), counts.astype(np.float32), before
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Evidence of labelled documents from counts without their own words."""
         for batch in batches:
-            if batch.num_rows:
-                e, h = evidences(final, batch)
-                yield pa.RecordBatch.from_arrays([pa.array(list(e)), pa.array(list(h)), batch.column("y")], ["e", "h", "y"])
-
-    table = known.mapInArrow(evidence, "e array<double>, h array<double>, y array<double>").toArrow()
-    e, h, y = (np.array(table.column(c).to_pylist(), np.float64).reshape(-1, k) for c in "ehy")
-    return SubjectModel(names, model, calibrate(e, h, y))
+            if not batch.num_rows:
+                continue
+            row, ids, tf = _flat(batch)
+            y = y_of(batch)
+            if rounds:
+                own, _ = shares(last[ids], row, tf, batch.num_rows)
+                own = own + (_LABEL_WEIGHT - 1) * shares(last[ids], row, tf, batch.num_rows, prior=_mixture_of(y))[0]
+            else:
+                own = tf[:, None] * (y / np.maximum(y.sum(1, keepdims=True), 1e-9))[row]
+            ratio = complement_ratios(np.maximum(all_counts[ids] - own, 0), sizes, buckets)
+            share, e = shares(ratio, row, tf, batch.num_rows)
+            h = _in_head(batch, row, tf, share)
+            flat = [pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), k).cast(pa.list_(pa.float32())) for x in (e, h)]
+            yield pa.RecordBatch.from_arrays([*flat, batch.column("y")], ["e", "h", "y"])
+
+    def calibrated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[np.asarray(b.column(c).flatten()).astype(np.float64).reshape(-1, k) for c in range(3)] for b in batches if b.num_rows]
+        e, h, y = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, k)),) * 3
+        w = calibrate(e, h, y)
+        yield pa.RecordBatch.from_arrays([pa.array(list(w), pa.list_(pa.float64()))], ["w"])
+
+    # LABELLED documents at most, so the regression is one task's work and only its weights travel
+    gathered = known.mapInArrow(evidence, "e array<float>, h array<float>, y array<double>").repartition(1)
+    weights = np.array([r[0] for r in gathered.mapInArrow(calibrated, "w array<double>").collect()])
+    return SubjectModel(names, model, weights if len(weights) else calibrate(*(np.zeros((0, k)),) * 3))
 
 
 def calibrate(e: np.ndarray, h: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -346,12 +384,14 @@ def calibrate(e: np.ndarray, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign_subjects(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, rater: str | None, names: list[str], rounds: int = 2, least: float = 0.5, each: int = 2, most: int = LABELLED) -> DataFrame:
-    """``doc_id, subject, posterior`` of each document's subjects, ``each`` at most; none for those about no subject.
+def assign_subjects(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, label: str, rater: str | None, names: list[str], rounds: int = 2, least: float = 0.5, each: int | None = None, most: int = LABELLED) -> DataFrame:
+    """``doc_id, subject, posterior`` of each document's subjects, however many; none for those about no subject.
 
     Null and empty texts have no subject; repeated ids give the rows of each; documents
     needn't be labelled.  Without usable labels no subject is given.
     """
+    if len(names) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
     if not names:
         return docs.sparkSession.createDataFrame([], "doc_id long, subject string, posterior double")
     feats = cut(features(docs, doc_id, text))

@@ -1,4 +1,5 @@
 import itertools
+import math
 import os
 import random
 import sys
@@ -363,12 +364,62 @@ def test_hamming_blocks_miss_nothing():
     assert set(zip(p.tolist(), q.tolist())) == want
 
 
-def test_leakage_in_several_rounds(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEM_CHARS", 3000)
+@pytest.mark.parametrize("radius,flips", [(2, None), (4, 2), (8, 3)])
+def test_hamming_blocks_of_any_number(radius, flips):
+    r = np.random.default_rng(6)
+    a = r.integers(0, 2**63, 60, dtype=np.uint64)
+    b = a.copy()
+    for k in range(radius + 1):
+        b ^= np.uint64(1) << r.integers(0, 64, 60).astype(np.uint64)
+    p, q = leakage.HammingIndex(a, radius, flips).within(b)
+    assert set(zip(p.tolist(), q.tolist())) == {(i, j) for i in range(60) for j in range(60) if bin(int(b[i] ^ a[j])).count("1") <= radius}
+
+
+def test_leakage_joined_by_block(spark):
+    """Any number of items in one pass over the documents: the same rows as with all items in the tasks."""
     d, i = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/eval_items.parquet")
-    a = {tuple(r) for r in leakage.leaked(d, "doc_id", "text", i, "item_id", "text").select("doc_id", "item_id").collect()}
-    monkeypatch.undo()
-    assert a == {tuple(r) for r in QUERIES["p9_found"](spark, DATA).collect()}
+    args = (d, "doc_id", "text", i, "item_id", "text")
+    for how in ({}, {"similarity": 0.7, "exact": False, "shingle": 5, "radius": 2}):
+        a = sorted((r["doc_id"], r["item_id"], r["windows"], round(r["similarity"], 9)) for r in leakage.leaked(*args, **how).collect())
+        b = sorted((r["doc_id"], r["item_id"], r["windows"], round(r["similarity"], 9)) for r in leakage.leaked(*args, **how, item_chars=0).collect())
+        assert a == b and a
+    assert leakage.leaked(*args, item_chars=0).select("doc_id", "item_id").exceptAll(QUERIES["p9_found"](spark, DATA)).count() == 0
+    assert leakage.leaked(d.limit(0), *args[1:], item_chars=0).count() == 0
+
+
+def test_near_copies_of_items(spark):
+    """Against brute force over all windows: recall of item-sized windows with a word changed, moved or dropped."""
+    r = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(400)]
+    items = [r.choices(vocabulary, k=r.randint(30, 100)) for _ in range(40)]
+    docs = []
+    for k in range(200):
+        t = list(r.choice(items))
+        for _ in range(r.choice([0, 1, 1, 2, 6])):
+            j = r.randrange(len(t))
+            r.choice([lambda: t.__setitem__(j, "new"), lambda: t.pop(j), lambda: t.insert(j, "more")])()
+        docs.append(r.choices(vocabulary, k=r.randint(0, 80)) + t + r.choices(vocabulary, k=r.randint(0, 80)))
+    how = leakage.Windows(None, 8, 3, 0.8, False, 5)
+    size = lambda x: int(how.sizes(np.array([len(x)]))[0])
+    runs = lambda x: {tuple(x[j : j + 5]) for j in range(len(x) - 4)}
+    held = {}
+    for x in items:
+        for j in range(len(x) - 4):
+            held[tuple(x[j : j + 5])] = held.get(tuple(x[j : j + 5]), 0) + 1
+    total = sum(held.values())
+    weight = lambda s: sum(math.log1p(total / held[x]) if x in held else math.log1p(total) for x in s)
+    want = set()
+    for di, t in enumerate(docs):
+        for ii, x in enumerate(items):
+            w = size(x)
+            for part in {0, len(x) - w}:
+                b = runs(x[part : part + w])
+                if any(weight(a & b) >= 0.8 * weight(a | b) for a in (runs(t[j : j + w]) for j in range(len(t) - w + 1)) if len(a & b) > 10):
+                    want.add((di, ii))
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(docs)], "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in leakage.leaked(d, "doc_id", "text", i, "item_id", "text", window=None, radius=8, similarity=0.8, exact=False, shingle=5).collect()}
+    assert got <= want and len(want) > 100 and len(got & want) >= 0.95 * len(want)
 
 
 def test_own_text_and_words():
@@ -407,6 +458,33 @@ def test_subjects_held_out(spark):
     assert subjects.assign_subjects(d.limit(0), "doc_id", "text", l, "doc_id", "subject", "rater", ["food", "law"]).count() == 0
 
 
+def test_a_document_may_have_three_subjects(spark):
+    r = random.Random(9)
+    words = {s: [f"{s}{chr(97 + i)}term" for i in range(20)] for s in ("law", "food", "sport", "music", "health", "travel")}
+    plain = [f"plain{chr(97 + i)}" for i in range(20)]
+    docs, labels = [], []
+    for i in range(600):
+        own = r.sample(list(words), r.choice([0, 1, 1, 2, 3]))
+        docs.append((i, " ".join([w for s in own for w in r.choices(words[s], k=12)] + r.choices(plain, k=30))))
+        labels += [(i, s, "a") for s in own or ["none"]] if i < 400 else []
+    docs.append((1000, " ".join([w for s in ("law", "food", "sport") for w in words[s]] + plain)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    l = spark.createDataFrame(labels, "doc_id long, subject string, rater string")
+    got = subjects.assign_subjects(d, "doc_id", "text", l, "doc_id", "subject", "rater", sorted(words)).where("doc_id = 1000")
+    assert {x["subject"] for x in got.collect()} == {"law", "food", "sport"}
+    two = subjects.assign_subjects(d, "doc_id", "text", l, "doc_id", "subject", "rater", sorted(words), each=2).where("doc_id = 1000")
+    assert two.count() == 2
+
+
+def test_complement_ratios():
+    counts = np.array([[8.0, 0.0, 2.0], [0.0, 9.0, 1.0], [4.0, 4.0, 12.0]])
+    got = subjects.complement_ratios(counts)
+    s = 0.1
+    want = (8 + s) / (12 + 3 * s) / ((2 + s) / (28 + 3 * s)) * math.exp(-0.5)
+    assert abs(got[0, 0] - want) < 1e-12 and got[0, 1] == got[1, 0] == math.exp(-3) and got.shape == (3, 2)
+    assert np.allclose(subjects.complement_ratios(counts[:1], counts.sum(0), 3), got[:1])
+
+
 def test_p2_feeds_p7(spark):
     raw = split_packed(spark.read.parquet(f"{DATA}/postings.parquet"), ["posting_id"], "job_skills", "skill").select("skill").distinct().count()
     assert QUERIES["p7_found"](spark, DATA).count() == raw
