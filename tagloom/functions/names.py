@@ -123,8 +123,13 @@ def slash_parts(name: Column) -> Column:
     return F.when(bare.contains("/") & ~bare.startswith("."), parts).otherwise(F.array().cast("array<string>"))
 
 
+def vocabulary_key(name: Column) -> Column:
+    """Key of a name in the vocabulary, under which its extra aliases stand."""
+    return renamed(normalize(name), VOCABULARY_RENAMES)
+
+
 def aliases(name: Column, key: Column) -> Column:
-    """Other spellings under which a name is looked up, sorted."""
+    """Other spellings under which a name is looked up, sorted; ``key`` as of :func:`vocabulary_key`."""
     bare, low = without_brackets(name), F.lower(name)
     cut = F.array(*[F.when(low.startswith(v), F.trim(F.substring(name, len(v) + 1, 1 << 20))) for v in VENDORS])
     made = F.array_union(F.array_union(F.array(bare), cut), slash_parts(name))

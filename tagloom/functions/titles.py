@@ -10,30 +10,30 @@ from pyspark.sql import functions as F
 # Patterns of titles that are kept, of titles that are not, of roles, of
 # titles that are no software role, of levels and of families, in the order they are tried.
 INCLUDE = (
-    r"(software|data|backend|back-end|frontend|front-end|full ?stack|cloud|devops|platform|security|network|systems?|qa|test|automation|machine learning|ml|ai|embedded|mobile|ios|android|web)\s+(?:engineer|developer|architect)",
-    r"software developer|programmer|data scientist|data analyst|sre|site reliability",
-    r"database administrator|\bdba\b|web developer|application developer",
-    r"\b(?:php|java|python|javascript|typescript|golang|ruby|scala|kotlin|swift|dotnet|\.net|c\+\+|c#|rust|node|react|angular|kubernetes|sailpoint|salesforce|servicenow|sap)\s+(?:developer|engineer|architect)",
-    r"software development engineer|development engineer",
-    r"(?:senior|sr\.?|lead|principal|staff|distinguished)\s+(?:developer|programmer)",
-    r"(?:solutions?|technical|principal|enterprise|cloud|application)\s+architect",
-    r"devsecops|mlops|machine learning operations",
-    r"engineering manager|tech lead|technical lead|product engineer",
-    r"(?:scientist|researcher)\b.*(?:machine learning|\bml\b|\bai\b|nlp|deep learning|computer vision|data|software|algorithm)",
-    r"(?:machine learning|\bml\b|\bai\b|nlp|deep learning|computer vision|research)\s+(?:scientist|researcher|engineer)",
-    r"applied scientist|research engineer",
-    r"game (developer|engineer|programmer)|graphics (developer|engineer|programmer)",
-    r"unity developer|unreal engine|gameplay (engineer|programmer)",
-    r"system(s)? administrator|sysadmin|linux administrator|windows administrator",
+    r"(software|data|backend|back-end|frontend|front-end|full ?stack|cloud|devops|platform|security|network|systems?|qa|test|automation|machine learning|ml|ai|embedded|mobile|ios|android|web)\s+(?:engineer|developer|architect)"
+    r"|software developer|programmer|data scientist|data analyst|sre|site reliability"
+    r"|database administrator|\bdba\b|web developer|application developer"
+    r"|\b(?:php|java|python|javascript|typescript|golang|ruby|scala|kotlin|swift|dotnet|\.net|c\+\+|c#|rust|node|react|angular|kubernetes|sailpoint|salesforce|servicenow|sap)\s+(?:developer|engineer|architect)"
+    r"|software development engineer|development engineer"
+    r"|(?:senior|sr\.?|lead|principal|staff|distinguished)\s+(?:developer|programmer)"
+    r"|(?:solutions?|technical|principal|enterprise|cloud|application)\s+architect"
+    r"|devsecops|mlops|machine learning operations"
+    r"|engineering manager|tech lead|technical lead|product engineer"
+    r"|(?:scientist|researcher)\b.*(?:machine learning|\bml\b|\bai\b|nlp|deep learning|computer vision|data|software|algorithm)"
+    r"|(?:machine learning|\bml\b|\bai\b|nlp|deep learning|computer vision|research)\s+(?:scientist|researcher|engineer)"
+    r"|applied scientist|research engineer"
+    r"|game (developer|engineer|programmer)|graphics (developer|engineer|programmer)"
+    r"|unity developer|unreal engine|gameplay (engineer|programmer)"
+    r"|system(s)? administrator|sysadmin|linux administrator|windows administrator"
 )
 EXCLUDE = (
-    r"electrical|mechanical|civil|structural|manufactur|geotech|chemical|industrial",
-    r"landscape|hvac|aerospace|automotive|petroleum|mining|marine|nuclear|biomedical",
-    r"field engineer|sales engineer|process engineer|controls engineer|quality engineer",
-    r"project engineer|design engineer|hardware engineer|packaging",
-    r"account executive|account manager|bioinformatician|safety architect|ai training",
-    r"clinical|biolog|chemi|pharma|laboratory|environmental scientist|food scientist",
-    r"soil|materials scientist",
+    r"electrical|mechanical|civil|structural|manufactur|geotech|chemical|industrial"
+    r"|landscape|hvac|aerospace|automotive|petroleum|mining|marine|nuclear|biomedical"
+    r"|field engineer|sales engineer|process engineer|controls engineer|quality engineer"
+    r"|project engineer|design engineer|hardware engineer|packaging"
+    r"|account executive|account manager|bioinformatician|safety architect|ai training"
+    r"|clinical|biolog|chemi|pharma|laboratory|environmental scientist|food scientist"
+    r"|soil|materials scientist"
 )
 ROLES = (
     ("AI/ML Engineer", r"machine learning|\bml engineer|\bmlops\b|\bai engineer|deep learning|applied scientist|\bnlp\b|computer vision|generative ai|\bllm\b|research scientist|ai/ml"),
@@ -60,10 +60,10 @@ ROLES = (
     ("Software Engineer", r"software (engineer|developer|architect)|programmer|application developer|development engineer|\bsde\b|product engineer|\bdeveloper\b|software.*engineer|engineer.*software|\bengineer\b"),
 )
 NO_ROLE = (
-    r"plant |turbomachinery|\bfire &|\bhvac\b|mechanical|facilities|manufacturing",
-    r"thermal|vacuum|chemical|civil |structural|aerospace|automotive|electrical",
-    r"biomedical|petroleum|\bfield service|maintenance (technician|engineer)",
-    r"sales engineer|account (executive|manager)|technical writer|recruiter",
+    r"plant |turbomachinery|\bfire &|\bhvac\b|mechanical|facilities|manufacturing"
+    r"|thermal|vacuum|chemical|civil |structural|aerospace|automotive|electrical"
+    r"|biomedical|petroleum|\bfield service|maintenance (technician|engineer)"
+    r"|sales engineer|account (executive|manager)|technical writer|recruiter"
 )
 LEVELS = (
     ("principal", r"\bprincipal\b|\bdistinguished\b|\bfellow\b|\bchief\b|\bvp\b"),
@@ -91,7 +91,7 @@ def low(title: Column) -> Column:
 
 def is_tech_title(title: Column) -> Column:
     """Kept patterns without any excluded one; a null title is empty."""
-    return low(title).rlike(any_of(INCLUDE)) & ~low(title).rlike(any_of(EXCLUDE))
+    return low(title).rlike(INCLUDE) & ~low(title).rlike(EXCLUDE)
 
 
 def first_match(text: Column, ordered: Sequence[tuple[str, str]], otherwise: str | None = None) -> Column:
@@ -103,7 +103,7 @@ def first_match(text: Column, ordered: Sequence[tuple[str, str]], otherwise: str
 
 
 def role_of(title: Column) -> Column:
-    return F.when(low(title).rlike(any_of(NO_ROLE)), F.lit(None)).otherwise(first_match(low(title), ROLES))
+    return F.when(low(title).rlike(NO_ROLE), F.lit(None)).otherwise(first_match(low(title), ROLES))
 
 
 def level_of(title: Column) -> Column:

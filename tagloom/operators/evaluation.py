@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.operators.ranking import running
+
 
 def mask(items: DataFrame, least: int = 4) -> DataFrame:
     """``k, s, masked``: of each basket of ``least`` items or more a third, one at least, is masked.
@@ -44,19 +46,16 @@ def auc(df: DataFrame, score: str, label: str, *by: str) -> DataFrame:
     Null where a class is missing.
     """
     y = F.col(label).cast("int")
-    g = df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    won = F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0))
+    g = running(df.groupBy(*by, score).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("q")), score, "q", by=by)
+    won = F.sum(F.col("p") * (F.col("before_q") + F.col("q") / 2.0))
     return g.groupBy(*by).agg(F.round(F.try_divide(won, F.sum("p") * F.sum("q")), 6).alias("auc"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
 
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Precision at each distinct threshold, weighted by the recall it adds."""
     y = F.col(label).cast("int")
-    g = df.groupBy(score).agg(F.sum(y).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("tp", F.sum("p").over(w)).withColumn("at", F.sum("n").over(w))
+    g = running(df.groupBy(score).agg(F.sum(y).alias("p"), F.count("*").alias("n")), score, "p", "n", descending=True)
+    g = g.withColumn("tp", F.col("before_p") + F.col("p")).withColumn("at", F.col("before_n") + F.col("n"))
     return g.agg(F.round(F.try_divide(F.sum(F.col("p") * F.col("tp") / F.col("at")), F.sum("p")), 6).alias("average_precision"))
 
 
@@ -69,17 +68,24 @@ def degree_bucket(d: Column) -> Column:
     return F.floor(F.log1p(d.cast("double")) * 2).cast("int")
 
 
-def negatives(positives: DataFrame, degrees: DataFrame, edges: DataFrame) -> DataFrame:
+def negatives(positives: DataFrame, degrees: DataFrame, edges: DataFrame, tries: int = 20) -> DataFrame:
     """``source, target, negative``: a node of the target's degree bucket, not linked to the source.
 
-    Of all that qualify the first by hash is taken; positives without any are left out.
+    The nodes of a bucket stand in the order of a hash; a positive looks at ``tries`` of
+    them in turn, from a place that its own hash gives, and takes the first that
+    qualifies.  Positives without any are left out.
     """
     d = degrees.select(F.col("i").alias("x"), degree_bucket(F.col("d")).alias("b"))
-    c = positives.join(d.withColumnRenamed("x", "target"), "target").join(d.withColumnRenamed("x", "negative"), "b")
+    order = Window.partitionBy("b").orderBy(F.md5("x"), "x")
+    placed = d.withColumn("at", (F.row_number().over(order) - 1).cast("long"))
+    size = d.groupBy("b").agg(F.count("*").alias("n"))
+    begin = F.conv(F.substring(F.md5(F.concat_ws("|", "source", "target")), 1, 8), 16, 10).cast("long")
+    c = positives.join(d.withColumnRenamed("x", "target"), "target").join(F.broadcast(size), "b")  # one row per doubling of degrees
+    c = c.select("source", "target", "b", "n", begin.alias("begin"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t")).where("t < n")
+    c = c.withColumn("at", (F.col("begin") + F.col("t")) % F.col("n")).join(placed.withColumnRenamed("x", "negative"), ["b", "at"])
     taken = edges.select(F.col("i").alias("source"), F.col("j").alias("negative"))
     c = c.where("negative != source and negative != target").join(taken, ["source", "negative"], "left_anti")
-    pick = F.min_by("negative", F.md5(F.concat_ws("|", "source", "target", "negative")))
-    return c.groupBy("source", "target").agg(pick.alias("negative"))
+    return c.groupBy("source", "target").agg(F.min_by("negative", "t").alias("negative"))
 
 
 def mean_neighbours(adjacency: DataFrame, vectors: DataFrame) -> DataFrame:

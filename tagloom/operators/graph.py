@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Neighbours of a hub that are paired in one task.
+HUB = 5_000
+
+
 def pair_counts(items: DataFrame) -> DataFrame:
     """``source, target, count`` of items in one basket.
 
@@ -51,11 +55,20 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def shared_neighbours(edges: DataFrame, weight: Column | None = None) -> DataFrame:
-    """``i, j, v``: sum over common neighbours of ``weight`` (of their degree ``d``), i = j included."""
+    """``i, j, v``: sum over common neighbours of ``weight`` (of their degree ``d``), i = j included.
+
+    Each pair is summed once, i <= j, and turned round at the end.  A hub's neighbours are
+    paired in parts: each is sent with one part of the others to a task.
+    """
     adj = adjacency(edges).select("i", "j")
-    weighted = adj.join(degree(edges).withColumnRenamed("i", "j"), "j").select(F.col("i"), "j", (weight if weight is not None else F.lit(1)).alias("w"))
-    other = adj.select(F.col("i").alias("i2"), "j")
-    return weighted.join(other, "j").groupBy("i", F.col("i2").alias("j")).agg(F.sum("w").alias("v"))
+    w = weight if weight is not None else F.lit(1)
+    parts = F.ceil(F.col("d") / HUB).cast("int")
+    near = adj.join(degree(edges).withColumnRenamed("i", "j"), "j").select("i", "j", w.alias("w"), parts.alias("k"), F.pmod(F.xxhash64("i"), parts).cast("int").alias("part"))
+    left = near.select("i", "j", "w", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    right = near.select(F.col("i").alias("i2"), "j", "part")
+    half = left.join(right, ["j", "part"]).where("i <= i2").groupBy("i", "i2").agg(F.sum("w").alias("v"))
+    both = F.when(F.col("i") == F.col("i2"), F.array(F.struct("i", F.col("i2").alias("j")))).otherwise(F.array(F.struct("i", F.col("i2").alias("j")), F.struct(F.col("i2").alias("i"), F.col("i").alias("j"))))
+    return half.select(F.explode(both).alias("x"), "v").select("x.i", "x.j", "v")
 
 
 def _with_degrees(edges: DataFrame) -> DataFrame:

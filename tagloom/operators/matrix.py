@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.plans.lineage import cut
+
 
 def _std(n: Column, s: Column, q: Column) -> Column:
     """Unbiased standard deviation from count, sum and sum of squares, at least 1e-8."""
@@ -40,19 +42,39 @@ def row_standardise(m: DataFrame, nodes: DataFrame) -> DataFrame:
     return m.join(r, "i").select("i", "j", ((F.col("v") - F.col("mu")) / F.col("sd")).alias("v"), (-F.col("mu") / F.col("sd")).alias("z0"))
 
 
-def row_col_standardise(m: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows, then columns standardised, as all cells.
+def row_col_parts(m: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What rows, then columns standardised are made of: stored cells of the rows, zeros of the rows, and the columns.
 
-    Column sums are the sum of all rows' zero values plus what the stored cells differ by.
+    (``i, j, v, z0``; ``i, z0``; ``j, cmu, csd``.)  Column sums are the sum of all rows'
+    zero values plus what the stored cells differ by.
     """
-    z = row_standardise(m, nodes)
+    z = cut(row_standardise(m, nodes))
     n = nodes.agg(F.count("*").cast("double").alias("n"))
     rows = z.select("i", "z0").distinct()
     base = rows.agg(F.sum("z0").alias("s0"), F.sum(F.col("z0") * F.col("z0")).alias("q0")).join(n)
     d = z.groupBy("j").agg(F.sum(F.col("v") - F.col("z0")).alias("ds"), F.sum(F.col("v") * F.col("v") - F.col("z0") * F.col("z0")).alias("dq"))
     cols = nodes.select(F.col("s").alias("j")).join(d, "j", "left").join(F.broadcast(base))
     s, q = F.coalesce("s0", F.lit(0.0)) + F.coalesce("ds", F.lit(0.0)), F.coalesce("q0", F.lit(0.0)) + F.coalesce("dq", F.lit(0.0))
-    cols = cols.select("j", (s / F.col("n")).alias("cmu"), _std(F.col("n"), s, q).alias("csd"))
+    return z, rows, cols.select("j", (s / F.col("n")).alias("cmu"), _std(F.col("n"), s, q).alias("csd"))
+
+
+def known_scores(m: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """``j, score``: for each node the sum of its cells over the ``known`` rows (``s``, repeats count), rows, then columns standardised.
+
+    Only cells of the known rows are read and no zero one is made: a node's sum is that of
+    the rows' zeros, plus what its stored cells differ by, less the column's mean.
+    """
+    z, rows, cols = row_col_parts(m, nodes)
+    q = known.groupBy(F.col("s").alias("i")).agg(F.count("*").alias("w"))
+    base = q.join(rows, "i", "left").agg(F.sum("w").alias("k"), F.coalesce(F.sum(F.col("w") * F.coalesce("z0", F.lit(0.0))), F.lit(0.0)).alias("zeros"))
+    own = z.join(q, "i").groupBy("j").agg(F.sum(F.col("w") * (F.col("v") - F.col("z0"))).alias("more"))
+    s = cols.join(own, "j", "left").join(F.broadcast(base)).where("k is not null")
+    return s.select("j", ((F.col("zeros") + F.coalesce("more", F.lit(0.0)) - F.col("k") * F.col("cmu")) / F.col("csd")).alias("score"))
+
+
+def row_col_standardise(m: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows, then columns standardised, as all cells; to score some rows use :func:`known_scores`."""
+    z, rows, cols = row_col_parts(m, nodes)
     cells = nodes.select(F.col("s").alias("i")).join(rows, "i", "left").crossJoin(cols).join(z.select("i", "j", "v"), ["i", "j"], "left")
     return cells.select("i", "j", ((F.coalesce("v", "z0", F.lit(0.0)) - F.col("cmu")) / F.col("csd")).alias("v"))
 
@@ -62,19 +84,26 @@ def blend(a: DataFrame, b: DataFrame, weight: Column) -> DataFrame:
     return a.withColumnRenamed("v", "va").join(b.withColumnRenamed("v", "vb"), ["i", "j"]).withColumn("w", weight).select("i", "j", (F.col("w") * F.col("va") + (1 - F.col("w")) * F.col("vb")).alias("v"))
 
 
+def summed(scores: DataFrame, known: DataFrame) -> DataFrame:
+    """``j, score``: the sum of each node's cells over the known rows, a name given twice weighing twice."""
+    return scores.join(known.select(F.col("s").alias("i")), "i").groupBy("j").agg(F.sum("v").alias("score"))
+
+
+def unknown(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """``scored`` without the known nodes; nothing else is cut, so masks and exclusions may follow before the ranking."""
+    return scored.join(known.select(F.col("s").alias("j")).distinct(), "j", "left_anti")
+
+
 def recommend(scores: DataFrame, known: DataFrame, k: int, dedupe: bool = False) -> DataFrame:
     """``j, score, rank``: the best ``k`` nodes by summed score over the known rows, these left out.
 
     A name given twice weighs twice unless ``dedupe``; ties by name.
     """
-    q = known.select(F.col("s").alias("i"))
-    q = q.distinct() if dedupe else q
-    s = scores.join(q, "i").groupBy("j").agg(F.sum("v").alias("score"))
-    s = s.join(known.select(F.col("s").alias("j")).distinct(), "j", "left_anti")
-    return ranked(s, k)
+    return ranked(unknown(summed(scores, known.distinct() if dedupe else known), known), k)
 
 
 def ranked(s: DataFrame, k: int) -> DataFrame:
+    """The best ``k``, once, at the end; ties by name."""
     s = s.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "j").limit(k)
     return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "j")))
 

@@ -14,15 +14,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def item_rows(spark: SparkSession, d: str) -> DataFrame:
+    """``k, s``: the skills of each posting, repeats included, for what gathers them by posting anyway."""
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    return line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("k"), F.col("p_name").alias("s"))
+
+
 def items(spark: SparkSession, d: str) -> DataFrame:
     """``k, s``: the distinct skills of each posting."""
-    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
-    return line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("l_orderkey").alias("k"), F.col("p_name").alias("s")).distinct()
+    return item_rows(spark, d).distinct()
 
 
 def baskets(spark: SparkSession, d: str) -> DataFrame:
     """``k, skills``: sorted skills of the postings with two or more."""
-    return items(spark, d).groupBy("k").agg(F.array_sort(F.collect_set("s")).alias("skills")).where(F.size("skills") >= 2)
+    return item_rows(spark, d).groupBy("k").agg(F.array_sort(F.collect_set("s")).alias("skills")).where(F.size("skills") >= 2)
 
 
 def bucket_of(key: Column, buckets: int = 10) -> Column:

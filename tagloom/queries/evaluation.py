@@ -6,18 +6,19 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import evaluation as e
 from tagloom.operators import graph as g
+from tagloom.operators.ranking import running
 from tagloom.plans.market import split_items
-from tagloom.queries.recommend import _BL, _G, _VE, allocation, edges, gnn, heuristic_scores, nodes, query, structural, vectors
+from tagloom.queries.recommend import _BL, _G, _VE, _session, allocation, edges, gnn, heuristic_scores, nodes, query, structural, vectors
 
 ALPHAS = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
 
 
 def held(spark, d, split="val"):
-    return g.held_out(split_items(spark, d, split), edges(spark, d), nodes(spark, d))
+    return g.held_out(split_items(_session(spark), d, split), edges(spark, d), nodes(spark, d))
 
 
 def ranks(spark, d):
-    m = e.mask(split_items(spark, d, "test").join(nodes(spark, d), "s", "left_semi"))
+    m = e.mask(split_items(_session(spark), d, "test").join(nodes(spark, d), "s", "left_semi"))
     return e.target_ranks(m, e.basket_scores(m, heuristic_scores(spark, d), "v"), F.col("v"))
 
 
@@ -31,19 +32,19 @@ def scored(spark, d):
 def auc_by_band(spark, d):
     """Per support band: its positives against as many negatives, the first by hash."""
     s = scored(spark, d)
-    from pyspark.sql import Window
-
     pos = s.where("label").withColumn("band", e.band(F.col("count")))
     n = pos.groupBy("band").agg(F.count("*").alias("n")).where("n >= 50")
-    w = Window.orderBy(F.md5(F.concat_ws("|", "source", "target")), "source", "target")
-    neg = s.where("not label").withColumn("rn", F.row_number().over(w)).join(n, F.col("rn") <= F.col("n"))
+    most = n.agg(F.max("n")).first()[0] or 0
+    # as many as the largest band has positives, taken by each partition first
+    first = s.where("not label").select("score", F.concat_ws("|", F.md5(F.concat_ws("|", "source", "target")), "source", "target").alias("h")).orderBy("h").limit(most)
+    neg = running(first.withColumn("one", F.lit(1)), "h", "one").join(n, F.col("before_one") < F.col("n")).withColumn("label", F.lit(False))
     both = pos.join(n, "band", "left_semi").select("band", "score", "label").unionByName(neg.select("band", "score", "label"))
     return e.auc(both, "score", "label", "band").select("band", "auc", "n_pos")
 
 
 def alpha_sweep(spark, d):
     """Hits and reciprocal rank for each weight; the two parts are summed once, as the blend is linear."""
-    m = e.mask(split_items(spark, d, "test").join(nodes(spark, d), "s", "left_semi"))
+    m = e.mask(split_items(_session(spark), d, "test").join(nodes(spark, d), "s", "left_semi"))
     both = structural(spark, d).withColumnRenamed("v", "a").join(gnn(spark, d).withColumnRenamed("v", "b"), ["i", "j"])
     c = e.basket_scores(m, both, "a", "b").withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
     r = e.target_ranks(m, c, F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("b"), ("k", "alpha"))
@@ -85,8 +86,10 @@ ORACLE = {
 ng AS (SELECT score, row_number() OVER (ORDER BY md5(source || '|' || target), source, target) AS rn FROM sc WHERE NOT label)
 SELECT band, round(sum(CASE WHEN ps.score > ng.score THEN 1 WHEN ps.score = ng.score THEN 0.5 ELSE 0 END)::DOUBLE / count(*), 6) AS auc, any_value(n) AS n_pos FROM ps JOIN pn USING (band) JOIN ng ON rn <= n GROUP BY band""",
     "support_bands": _G + _HELD + f" SELECT {_BAND} AS band, count(*) AS n, sum(count)::BIGINT AS total FROM hd GROUP BY 1",
-    "negative_sampling": _G + _HELD + """, db AS (SELECT i AS x, floor(ln(1 + d::DOUBLE) * 2)::INT AS b FROM deg)
-SELECT source, target, arg_min(n.x, md5(source || '|' || target || '|' || n.x)) AS negative FROM hd JOIN db t ON t.x = target JOIN db n ON n.b = t.b
+    "negative_sampling": _G + _HELD + """, db AS (SELECT i AS x, floor(ln(1 + d::DOUBLE) * 2)::INT AS b FROM deg),
+pl AS (SELECT x, b, row_number() OVER (PARTITION BY b ORDER BY md5(x), x) - 1 AS at, count(*) OVER (PARTITION BY b) AS n FROM db),
+tr AS (SELECT source, target, b.b, b.n, t, (('0x' || substr(md5(source || '|' || target), 1, 8))::BIGINT + t) % b.n AS at FROM hd JOIN pl b ON b.x = target, (SELECT unnest(range(20)) AS t) WHERE t < b.n)
+SELECT source, target, arg_min(n.x, t) AS negative FROM tr JOIN pl n ON n.b = tr.b AND n.at = tr.at
 WHERE n.x <> source AND n.x <> target AND NOT EXISTS (SELECT 1 FROM a WHERE a.i = source AND a.j = n.x) GROUP BY source, target""",
     "alpha_sweep": _G + _VE + _BL + ", bo AS (SELECT i, j, st.v AS a, gz.v AS b FROM st JOIN gz USING (i, j))" + _MASK + _CAND.format(v="sum(m.a) AS a, sum(m.b) AS b", m="bo")
     + ", al AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in ALPHAS) + "]) AS alpha), rr AS (SELECT k, j, alpha, row_number() OVER (PARTITION BY k, alpha ORDER BY round(alpha * a + (1 - alpha) * b, 6) DESC, j) AS rank FROM ca, al) SELECT alpha, " + _HIT + " FROM rr JOIN mk ON mk.k = rr.k AND mk.s = rr.j AND masked GROUP BY alpha",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.operators import graph as g
-from tagloom.plans.market import GRAPH, baskets, bucket_of, items, part_nodes, split_items, split_of, table, with_
+from tagloom.plans.market import GRAPH, baskets, bucket_of, item_rows, part_nodes, split_items, split_of, table, with_
 
 
 def train(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ def conditional_prob(spark, d):
 QUERIES = {
     "join_inner": join_inner,
     "canonical_baskets": canonical_baskets,
-    "cooccur_pairs": lambda s, d: g.pair_counts(items(s, d)),
+    "cooccur_pairs": lambda s, d: g.pair_counts(item_rows(s, d)),
     "node_doc_freq": lambda s, d: g.doc_freq(train(s, d)),
     "pmi_edges": edges,
     "top_pmi_edges": lambda s, d: edges(s, d).orderBy(F.desc("pmi"), "source", "target").limit(20),

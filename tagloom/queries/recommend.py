@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagloom.operators import graph as g
 from tagloom.operators import matrix as m
 from tagloom.operators import profile as p
 from tagloom.operators import trends as t
+from tagloom.operators.ranking import running
 from tagloom.plans.lineage import cut
 from tagloom.plans.market import GRAPH, ROLE, items, part_nodes, table, with_
 from tagloom.queries import graph as base
@@ -17,50 +17,61 @@ from tagloom.queries.roles import have, one_role, role_edges
 from tagloom.queries.trends import _S, rank_slopes
 
 
-#: Tables of the query being built that several of its branches read.
-_written: dict = {}
+class Tables:
+    """Session and folder of the tables, with what one query has written of them so far.
+
+    Made anew for each call of a query, so queries that are built at the same time don't
+    meet.
+    """
+
+    def __init__(self, spark, d):
+        self.spark, self.d, self.written = spark, d, {}
 
 
 def once(f):
     """The table that ``f`` makes, written once per query: its branches don't repeat the plan."""
 
-    def run(spark, d):
-        key = (f.__name__, d)
-        if key not in _written:
-            _written[key] = cut(f(spark, d))
-        return _written[key]
+    def run(t, d=None):
+        if not isinstance(t, Tables):
+            return f(t, d)
+        if f.__name__ not in t.written:
+            t.written[f.__name__] = cut(f(t, t.d))
+        return t.written[f.__name__]
 
     return run
 
 
 def query(f):
     def run(spark, d):
-        _written.clear()
-        try:
-            return f(spark, d)
-        finally:
-            _written.clear()
+        return f(Tables(spark, d), d)
 
     return run
 
 
+def _session(t):
+    return t.spark if isinstance(t, Tables) else t
+
+
 @once
 def edges(spark, d):
-    return base.edges(spark, d)
+    return base.edges(_session(spark), d)
 
 
 @once
 def nodes(spark, d):
-    return g.doc_freq(base.train(spark, d)).select("s")
+    return g.doc_freq(base.train(_session(spark), d)).select("s")
+
+
+@once
+def placed(spark, d):
+    """``s, vec_id``: the place of each node in the order of names."""
+    return running(nodes(spark, d).withColumn("one", F.lit(1)), "s", "one").select("s", F.col("before_one").alias("vec_id"))
 
 
 @once
 def vectors(spark, d):
     """``s, v``: the embedding of each node, by its place in the order of names."""
-    n = nodes(spark, d)
-    # a window over the node names alone: one per word of the vocabulary
-    at = n.select("s", (F.row_number().over(Window.orderBy("s")) - 1).cast("bigint").alias("vec_id"))
-    return at.join(table(spark, d, "embeddings"), "vec_id").select("s", F.col("embedding").alias("v"))
+    return placed(spark, d).join(table(_session(spark), d, "embeddings"), "vec_id").select("s", F.col("embedding").alias("v"))
 
 
 @once
@@ -104,49 +115,54 @@ def heuristic_scores(spark, d):
     return m.row_col_standardise(allocation(spark, d), nodes(spark, d))
 
 
-def hybrid_scores(spark, d):
-    """Blend, then rows and columns standardised."""
-    return m.row_col_standardise(cut(fixed(spark, d)), nodes(spark, d))
+@once
+def known(spark, d):
+    return have(_session(spark), d).join(nodes(spark, d).withColumnRenamed("s", "skill"), "skill", "left_semi").select(F.col("skill").alias("s"))
 
 
 @once
-def known(spark, d):
-    return have(spark, d).join(nodes(spark, d).withColumnRenamed("s", "skill"), "skill", "left_semi").select(F.col("skill").alias("s"))
+def known_heuristic(spark, d):
+    """Score of every unknown node by the known ones."""
+    k = known(spark, d)
+    return m.unknown(m.known_scores(allocation(spark, d), nodes(spark, d), k), k)
+
+
+def heuristic(spark, d, k=10):
+    return m.ranked(known_heuristic(spark, d), k)
 
 
 def hybrid(spark, d, k=10):
-    return m.recommend(hybrid_scores(spark, d), known(spark, d), k)
+    q = known(spark, d)
+    return m.ranked(m.unknown(m.known_scores(cut(fixed(spark, d)), nodes(spark, d), q), q), k)
 
 
 def target_role(spark, d):
-    s = m.recommend(heuristic_scores(spark, d), known(spark, d), 1000)
-    lift = one_role(spark, d).select(F.col("skill").alias("j"), "lift")
-    return m.ranked(s.join(lift, "j", "left").select("j", (F.col("score") * m.role_mask(F.col("lift"))).alias("score")), 10)
+    lift = one_role(_session(spark), d).select(F.col("skill").alias("j"), "lift")
+    return m.ranked(known_heuristic(spark, d).join(lift, "j", "left").select("j", (F.round("score", 6) * m.role_mask(F.col("lift"))).alias("score")), 10)
 
 
 def exclude_category(spark, d):
-    s = m.recommend(heuristic_scores(spark, d), known(spark, d), 1000)
-    cat = part_nodes(spark, d).select(F.col("s").alias("j"), "category")
-    keep = s.join(cat, "j", "left").where(F.coalesce(~F.col("category").isin("misty", "steel"), F.lit(True)))
+    cat = part_nodes(_session(spark), d).select(F.col("s").alias("j"), "category")
+    keep = known_heuristic(spark, d).join(cat, "j", "left").where(F.coalesce(~F.col("category").isin("misty", "steel"), F.lit(True)))
     return m.ranked(keep.select("j", "category", "score"), 10)
 
 
 def given(spark, d):
     """Each recommendation with the largest conditional share over the known names, 0 if none."""
-    r = m.recommend(heuristic_scores(spark, d), known(spark, d), 10)
-    c = g.conditional(edges(spark, d), mentions(spark, d)).join(known(spark, d).withColumnRenamed("s", "i"), "i", "left_semi")
+    r = heuristic(spark, d)
+    c = g.conditional(edges(spark, d), mentions(_session(spark), d)).join(known(spark, d).withColumnRenamed("s", "i"), "i", "left_semi")
     return r.join(c.groupBy("j").agg(F.max("p").alias("given")), "j", "left").na.fill(0.0, ["given"])
 
 
 def with_trend(spark, d):
-    r = m.recommend(heuristic_scores(spark, d), known(spark, d), 10)
-    tr = rank_slopes(spark, d).select(F.col("tech").alias("j"), "rank_slope", t.direction(F.col("rank_slope")).alias("direction"))
+    r = heuristic(spark, d)
+    tr = rank_slopes(_session(spark), d).select(F.col("tech").alias("j"), "rank_slope", t.direction(F.col("rank_slope")).alias("direction"))
     return r.join(tr, "j", "left")
 
 
 def api_recommend(spark, d):
     r = with_trend(spark, d).join(given(spark, d).select("j", "given"), "j")
-    return r.join(part_nodes(spark, d).select(F.col("s").alias("j"), "category"), "j", "left")
+    return r.join(part_nodes(_session(spark), d).select(F.col("s").alias("j"), "category"), "j", "left")
 
 
 def broad(spark, d):
@@ -157,8 +173,9 @@ def broad(spark, d):
 
 
 def embedding_nn(spark, d):
-    """Every stored vector with the nearest node at a cosine of 0.1 or more."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).where("id >= 64")
+    """Every stored vector that is no node's, with the nearest node at a cosine of 0.1 or more."""
+    v = table(_session(spark), d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    v = v.join(placed(spark, d).select(F.col("vec_id").alias("id")), "id", "left_anti")
     return m.nearest(v, vectors(spark, d).withColumnRenamed("s", "name"), 0.1).select("id", "name", F.round("v", 5).alias("v"))
 
 
@@ -193,7 +210,7 @@ QUERIES = {
     "blend_fixed": rounded(fixed),
     "blend_adaptive": rounded(adaptive),
     "index_correlation": index_correlation,
-    "recommend_heuristic": lambda s, d: m.recommend(heuristic_scores(s, d), known(s, d), 10),
+    "recommend_heuristic": heuristic,
     "recommend_hybrid": hybrid,
     "recommend_target_role": target_role,
     "recommend_exclude_category": exclude_category,
@@ -229,7 +246,7 @@ ORACLE = {
     "embedding_normalise": _G + _VE + " SELECT s, (generate_subscripts(v, 1) - 1)::INT AS pos, round(unnest(v), 6) AS x FROM un",
     "dot_decode": _G + _VE + " SELECT source, target, round(list_dot_product(x.v, y.v), 5) AS v FROM e JOIN ve x ON x.s = source JOIN ve y ON y.s = target",
     "cosine_all_pairs": _G + _VE + " SELECT i, j, round(v, 5) AS v FROM cs",
-    "embedding_nn": _G + _VE + """, q AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id >= 64), qq AS (SELECT id, s AS name, list_dot_product(q.v, un.v) / sqrt(list_dot_product(q.v, q.v)) AS v FROM q, un)
+    "embedding_nn": _G + _VE + """, q AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id NOT IN (SELECT row_number() OVER (ORDER BY s) - 1 FROM nd)), qq AS (SELECT id, s AS name, list_dot_product(q.v, un.v) / sqrt(list_dot_product(q.v, q.v)) AS v FROM q, un)
 SELECT id, arg_min(name, (-v, name)) AS name, round(max(v), 5) AS v FROM qq GROUP BY id HAVING max(v) >= 0.1""",
     "matrix_standardise": _G + " SELECT i, j, round(v, 5) AS v FROM st",
     "row_standardise": _G + " SELECT i, j, round(rz.v, 5) AS v FROM rz SEMI JOIN ra USING (i, j)",

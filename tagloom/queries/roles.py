@@ -129,7 +129,7 @@ def _case(text: str, ordered, otherwise="NULL") -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, {_q(x)}) THEN {_q(n)}" for n, x in ordered) + f" ELSE {otherwise} END"
 
 
-_ROLE = f"CASE WHEN regexp_matches({_LOW}, {_q(t.any_of(t.NO_ROLE))}) THEN NULL ELSE {_case(_LOW, t.ROLES)} END"
+_ROLE = f"CASE WHEN regexp_matches({_LOW}, {_q(t.NO_ROLE)}) THEN NULL ELSE {_case(_LOW, t.ROLES)} END"
 _TT = f"WITH tt AS (SELECT posting_id, job_title, {_ROLE} AS role, {_case(_LOW, t.LEVELS, _q('mid'))} AS level FROM postings) "
 _ONE = ", r1 AS (SELECT min(c_mktsegment) AS role FROM customer), o AS (SELECT re.* FROM re JOIN r1 USING (role))"
 _DEN = ", den AS (SELECT role, level, count(DISTINCT k) AS denom FROM g GROUP BY 1, 2 HAVING count(DISTINCT k) >= 20), lv AS (SELECT s, role, level, count(*) AS n FROM g GROUP BY 1, 2, 3), ls AS (SELECT re.skill, re.role, den.level, round(coalesce(lv.n, 0) / den.denom::DOUBLE, 4) AS share FROM re JOIN den USING (role) LEFT JOIN lv ON lv.s = re.skill AND lv.role = re.role AND lv.level = den.level)"
@@ -137,7 +137,7 @@ _GAP = "SELECT {e}.skill, {e}.role, {e}.support, {e}.lift, h.skill IS NOT NULL A
 _H = ", h AS (SELECT DISTINCT p_name AS skill FROM part WHERE ascii(substr(p_name, 2, 1)) % 4 = 0)"
 
 ORACLE = {
-    "filter_include_exclude": f"SELECT posting_id, job_title FROM postings WHERE regexp_matches({_LOW}, {_q(t.any_of(t.INCLUDE))}) AND NOT regexp_matches({_LOW}, {_q(t.any_of(t.EXCLUDE))})",
+    "filter_include_exclude": f"SELECT posting_id, job_title FROM postings WHERE regexp_matches({_LOW}, {_q(t.INCLUDE)}) AND NOT regexp_matches({_LOW}, {_q(t.EXCLUDE)})",
     "case_role_assign": _TT + "SELECT posting_id, role FROM tt",
     "case_seniority_assign": _TT + "SELECT posting_id, level FROM tt",
     "rare_group_null": _TT + "SELECT posting_id, CASE WHEN count(*) OVER (PARTITION BY role) >= 200 THEN role END AS role FROM tt",

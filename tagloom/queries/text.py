@@ -40,7 +40,7 @@ def cascade(spark, d):
     counts = token_counts(spark, d).where("n >= 3").withColumn("key", n.normalize(F.col("raw")))
     v = vocabulary(spark, d)
     by_key = v.groupBy(n.normalize(F.col("name")).alias("key")).agg(F.min("name").alias("exact"))
-    al = v.select("name", F.explode(n.aliases(F.col("name"), n.normalize(F.col("name")))).alias("a"))
+    al = v.select("name", F.explode(n.aliases(F.col("name"), n.vocabulary_key(F.col("name")))).alias("a"))
     al = al.groupBy(n.normalize(F.col("a")).alias("key")).agg(F.min("name").alias("alias"))
     j = counts.join(by_key, "key", "left").join(al, "key", "left")
     return j.select("raw", "n", F.coalesce("exact", "alias").alias("canonical"), F.when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").alias("method"))
@@ -117,7 +117,7 @@ QUERIES = {
     "doc_lines": lambda s, d: r.lines(table(s, d, "documents"), "doc_id", "text"),
     "token_counts_having": lambda s, d: token_counts(s, d).where("n >= 3"),
     "normalize": lambda s, d: table(s, d, "final_mapping").select("raw", n.normalize(F.col("raw")).alias("key")),
-    "alias_generate": lambda s, d: vocabulary(s, d).select("name", F.array_join(n.aliases(F.col("name"), n.normalize(F.col("name"))), "|").alias("aliases")),
+    "alias_generate": lambda s, d: vocabulary(s, d).select("name", F.array_join(n.aliases(F.col("name"), n.vocabulary_key(F.col("name"))), "|").alias("aliases")),
     "slash_index": lambda s, d: vocabulary(s, d).select("name", F.explode(n.slash_parts(F.col("name"))).alias("part")).select("name", n.normalize(F.col("part")).alias("key")),
     "resolve_index": index,
     "cascade_match": cascade,
@@ -140,7 +140,7 @@ QUERIES = {
 }
 
 from tagloom.plans.market import GRAPH, ROLE, with_  # noqa: E402
-from tagloom.queries.trends import _norm  # noqa: E402
+from tagloom.queries.trends import _norm, _renames  # noqa: E402
 
 
 def _l(xs) -> str:
@@ -153,7 +153,7 @@ _BARE = r"trim(regexp_replace(name, '\(.*?\)', '', 'g'))"
 _SLASH = f"CASE WHEN contains({_BARE}, '/') AND NOT starts_with({_BARE}, '.') THEN list_filter(list_transform(string_split({_BARE}, '/'), lambda x: trim(x)), lambda x: len(x) > 1) ELSE [] END"
 _V = "v AS (SELECT canonical AS name FROM final_vocab)"
 _CUTS = "[" + ", ".join(f"CASE WHEN starts_with(lower(name), '{p}') THEN trim(substr(name, {len(p) + 1})) END" for p in n.VENDORS) + "]"
-_EXTRA = "CASE " + _norm("name") + " " + " ".join(f"WHEN '{k}' THEN [{_l(v)}]" for k, v in n.EXTRA_ALIASES.items()) + " ELSE [] END"
+_EXTRA = "CASE " + _renames(_norm("name"), n.VOCABULARY_RENAMES) + " " + " ".join(f"WHEN '{k}' THEN [{_l(v)}]" for k, v in n.EXTRA_ALIASES.items()) + " ELSE [] END"
 _AL = f"""al AS (SELECT name, list_sort(list_filter(list_distinct(list_concat(list_filter(list_concat(list_concat([{_BARE}], {_CUTS}), {_SLASH}),
   lambda x: x IS NOT NULL AND len(x) > 1 AND lower(x) NOT IN ({_l(n.TOO_GENERAL)})), {_EXTRA})), lambda x: x <> name)) AS a FROM v)"""
 _IX = f"""ixa AS (SELECT {_norm('k')} AS key, name, 0 AS prio FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in r.SPELLINGS.items())}) t(k, name)

@@ -21,7 +21,9 @@ def test_names(spark):
     assert values(spark, n.normalize, ["  Python  ", "PYTHON", ".NET (5+)", "C++", "Node.js.", "R & D", None, ""]) == ["python", "python", ".net", "c++", "node.js", "randd", None, ""]
     assert values(spark, n.canon_key, ["Amazon Web Services (AWS)", "AWS", "React.js", "ReactJS"]) == ["aws", "aws", "react.js", "react"]
     assert values(spark, n.slash_parts, ["HTML/CSS", ".NET/C#", "Go"]) == [["HTML", "CSS"], [], []]
-    assert values(spark, lambda c: n.aliases(c, n.normalize(c)), ["Google Meet", "Apache Kafka", "HTML/CSS"]) == [[], ["Kafka"], ["CSS", "HTML"]]
+    assert values(spark, lambda c: n.aliases(c, n.vocabulary_key(c)), ["Google Meet", "Apache Kafka", "HTML/CSS", "Amazon Web Services (AWS)", "Visual Studio Code"]) == [
+        [], ["Kafka"], ["CSS", "HTML"], ["AWS", "Amazon AWS", "Amazon Web Services", "Web Services (AWS)"], ["VS Code", "VSCode"],
+    ]
 
 
 def test_titles(spark):
