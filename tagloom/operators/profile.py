@@ -49,6 +49,14 @@ def gap(edges: DataFrame, have: DataFrame) -> DataFrame:
     )
 
 
+def held_out(rows: DataFrame, train: DataFrame, support: float, least: int = 3) -> DataFrame:
+    """``skill, role, count`` of held-out postings: frequent enough there, and no edge of ``train``."""
+    total = rows.groupBy("role").agg(F.count_distinct("k").alias("total"))
+    n = rows.groupBy(F.col("s").alias("skill"), "role").agg(F.count_distinct("k").alias("count")).join(total, "role")
+    n = n.where((F.col("count") >= least) & (F.col("count") / F.col("total") >= support))
+    return n.join(train.select("skill", "role"), ["skill", "role"], "left_anti").select("skill", "role", "count")
+
+
 def match(edges: DataFrame, have: DataFrame) -> DataFrame:
     """``role, coverage, n_have, n_skills, matched, top_missing``, coverage weighted by support."""
     g = gap(edges, have)

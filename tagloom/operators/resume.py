@@ -30,6 +30,7 @@ GENERIC = (
     "backend services", "databases",
 )
 GENERIC_SECTIONS = ("skills", "coursework")
+INFERRED_WEIGHT = 0.56
 SPELLINGS = {
     "express.js": "Express",
     "expressjs": "Express",
@@ -154,3 +155,12 @@ def unmatched(e: DataFrame) -> DataFrame:
     s = F.col("span")
     ok = (F.size(F.split(s, r"\s+")) <= 3) & s.rlike(r"\p{L}") & ~F.lower(s).isin(*STOPWORDS) & (F.length(s) > 2)
     return e.where(F.col("name").isNull() & ok).groupBy("span").agg(F.count("*").alias("n"))
+
+
+def inferred(spans: DataFrame, names: DataFrame, embed, threshold: float) -> DataFrame:
+    """``span, name, v``: the nearest name of each unmatched span whose cosine reaches ``threshold``."""
+    from tagloom.operators.matrix import nearest
+    from tagloom.sources.models import embed_names
+
+    q = embed_names(spans.select("span"), "span", embed).withColumnRenamed("span", "id")
+    return nearest(q, embed_names(names.select("name"), "name", embed), threshold).withColumnRenamed("id", "span")

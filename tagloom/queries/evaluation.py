@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import evaluation as e
 from tagloom.operators import graph as g
+from tagloom.operators import matrix as m
 from tagloom.operators.ranking import running
+from tagloom.plans.lineage import cut
 from tagloom.plans.market import split_items
-from tagloom.queries.recommend import _BL, _G, _VE, _session, allocation, edges, gnn, heuristic_scores, nodes, query, structural, vectors
+from tagloom.queries.recommend import _BL, _G, _IDX, _VE, _session, allocation, confidence, edges, gnn, heuristic_scores, nodes, query, vectors
 
-ALPHAS = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
+ALPHAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
 
 def held(spark, d, split="val"):
@@ -43,12 +45,27 @@ def auc_by_band(spark, d):
 
 
 def alpha_sweep(spark, d):
-    """Hits and reciprocal rank for each weight; the two parts are summed once, as the blend is linear."""
-    m = e.mask(split_items(_session(spark), d, "test").join(nodes(spark, d), "s", "left_semi"))
-    both = structural(spark, d).withColumnRenamed("v", "a").join(gnn(spark, d).withColumnRenamed("v", "b"), ["i", "j"])
-    c = e.basket_scores(m, both, "a", "b").withColumn("alpha", F.explode(F.array(*map(F.lit, ALPHAS))))
-    r = e.target_ranks(m, c, F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("b"), ("k", "alpha"))
-    return e.hits(r, "alpha")
+    """Hits and reciprocal rank for each weight, fixed and adaptive, and each structural index.
+
+    The blends are linear in their parts, so each part is summed per candidate once:
+    the structural score plain and weighted by the pair's confidence, and the other
+    likewise.
+    """
+    mk = e.mask(split_items(_session(spark), d, "test").join(nodes(spark, d), "s", "left_semi"))
+    out = None
+    for name in g.INDICES:
+        z = m.standardise(g.INDICES[name](edges(spark, d)), nodes(spark, d))
+        z0 = z.agg(F.first("z0").alias("z0"))
+        both = gnn(spark, d).withColumnRenamed("v", "b").join(z.select("i", "j", F.col("v").alias("a")), ["i", "j"], "left").join(F.broadcast(z0))
+        both = both.join(confidence(spark, d), ["i", "j"]).select("i", "j", F.coalesce("a", "z0").alias("a"), "b", (F.col("w") * F.coalesce("a", "z0")).alias("wa"), (F.col("w") * F.col("b")).alias("wb"))
+        c = e.basket_scores(mk, both, "a", "b", "wa", "wb")
+        modes = [F.struct(F.lit(x).alias("alpha"), F.lit(y).alias("mode")) for x in ALPHAS for y in ("fixed", "adaptive") if x or y == "fixed"]
+        c = cut(c).withColumn("x", F.explode(F.array(*modes))).select("k", "j", "a", "b", "wa", "wb", "x.alpha", "x.mode")
+        plain = F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("b")
+        score = F.when(F.col("mode") == "fixed", plain).otherwise(F.col("alpha") * F.col("wa") + F.col("b") - F.col("alpha") * F.col("wb"))
+        h = e.hits(e.target_ranks(mk, c, score, ("k", "alpha", "mode")), "alpha", "mode").withColumn("structural", F.lit(name))
+        out = h if out is None else out.unionByName(h)
+    return out
 
 
 def _negatives(spark, d):
@@ -69,6 +86,9 @@ QUERIES = {
 }
 QUERIES = {k: query(f) for k, f in QUERIES.items()}
 
+from tagloom.plans.market import GRAPH, with_  # noqa: E402
+from tagloom.queries.recommend import _Z  # noqa: E402
+
 _HELD = ", hv AS (SELECT x.s AS source, y.s AS target, count(*) AS count FROM b x JOIN b y ON x.k = y.k AND x.s < y.s JOIN sp ON sp.k = x.k WHERE split = 'val' GROUP BY 1, 2), hd AS (SELECT * FROM hv WHERE count >= 3 AND source IN (SELECT s FROM nd) AND target IN (SELECT s FROM nd) AND NOT EXISTS (SELECT 1 FROM e WHERE e.source = hv.source AND e.target = hv.target))"
 _MASK = ", ti AS (SELECT b.k, b.s FROM b JOIN sp USING (k) WHERE split = 'test' AND b.s IN (SELECT s FROM nd)), mk AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY md5(k || '|' || s)) - 1 < greatest(1, count(*) OVER (PARTITION BY k) // 3) AS masked FROM ti QUALIFY count(*) OVER (PARTITION BY k) >= 4)"
 _CAND = ", ca AS (SELECT k, j, {v} FROM mk JOIN {m} m ON m.i = mk.s WHERE NOT masked AND NOT EXISTS (SELECT 1 FROM mk o WHERE o.k = mk.k AND o.s = m.j AND NOT o.masked) GROUP BY k, j)"
@@ -91,7 +111,13 @@ pl AS (SELECT x, b, row_number() OVER (PARTITION BY b ORDER BY md5(x), x) - 1 AS
 tr AS (SELECT source, target, b.b, b.n, t, (('0x' || substr(md5(source || '|' || target), 1, 8))::BIGINT + t) % b.n AS at FROM hd JOIN pl b ON b.x = target, (SELECT unnest(range(20)) AS t) WHERE t < b.n)
 SELECT source, target, arg_min(n.x, t) AS negative FROM tr JOIN pl n ON n.b = tr.b AND n.at = tr.at
 WHERE n.x <> source AND n.x <> target AND NOT EXISTS (SELECT 1 FROM a WHERE a.i = source AND a.j = n.x) GROUP BY source, target""",
-    "alpha_sweep": _G + _VE + _BL + ", bo AS (SELECT i, j, st.v AS a, gz.v AS b FROM st JOIN gz USING (i, j))" + _MASK + _CAND.format(v="sum(m.a) AS a, sum(m.b) AS b", m="bo")
-    + ", al AS (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in ALPHAS) + "]) AS alpha), rr AS (SELECT k, j, alpha, row_number() OVER (PARTITION BY k, alpha ORDER BY round(alpha * a + (1 - alpha) * b, 6) DESC, j) AS rank FROM ca, al) SELECT alpha, " + _HIT + " FROM rr JOIN mk ON mk.k = rr.k AND mk.s = rr.j AND masked GROUP BY alpha",
+    "alpha_sweep": with_(*GRAPH, "a", "deg") + ", nd AS (SELECT s FROM df), cell AS (SELECT x.s AS i, y.s AS j FROM nd x, nd y)" + _VE + ", gz AS (SELECT i, j, " + _Z.format(w="") + " AS v FROM cs)"
+    + ", cf AS (SELECT s, coalesce(d, 0) / (coalesce(d, 0) + 60)::DOUBLE AS c FROM nd LEFT JOIN deg ON i = s), sh AS (SELECT x.i AS i, y.i AS j, k.d AS dk, p.d AS di, q.d AS dj FROM a x JOIN a y ON x.j = y.j JOIN deg k ON k.i = x.j JOIN deg p ON p.i = x.i JOIN deg q ON q.i = y.i), ix AS ("
+    + " UNION ALL ".join(f"SELECT i, j, '{k}' AS structural, {v} AS v FROM sh GROUP BY i, j" for k, v in _IDX.items())
+    + "), dz AS (SELECT c.i, c.j, n.structural, coalesce(v, 0) AS v FROM cell c CROSS JOIN (SELECT DISTINCT structural FROM ix) n LEFT JOIN ix ON ix.i = c.i AND ix.j = c.j AND ix.structural = n.structural), sz AS (SELECT i, j, structural, " + _Z.format(w="PARTITION BY structural")
+    + " AS v FROM dz), bo AS (SELECT i, j, structural, sz.v AS a, gz.v AS b, sqrt(x.c * y.c) AS w FROM sz JOIN gz USING (i, j) JOIN cf x ON x.s = i JOIN cf y ON y.s = j)" + _MASK
+    + ", ca AS (SELECT k, j, structural, sum(m.a) AS a, sum(m.b) AS b, sum(w * m.a) AS wa, sum(w * m.b) AS wb FROM mk JOIN bo m ON m.i = mk.s WHERE NOT masked AND NOT EXISTS (SELECT 1 FROM mk o WHERE o.k = mk.k AND o.s = m.j AND NOT o.masked) GROUP BY k, j, structural)"
+    + ", al AS (SELECT alpha, mode FROM (SELECT unnest([" + ", ".join(f"{x}::DOUBLE" for x in ALPHAS) + "]) AS alpha), (SELECT unnest(['fixed', 'adaptive']) AS mode) WHERE alpha > 0 OR mode = 'fixed')"
+    + ", rr AS (SELECT k, j, structural, alpha, mode, row_number() OVER (PARTITION BY k, structural, alpha, mode ORDER BY round(CASE WHEN mode = 'fixed' THEN alpha * a + (1 - alpha) * b ELSE alpha * wa + b - alpha * wb END, 6) DESC, j) AS rank FROM ca, al) SELECT alpha, mode, structural, " + _HIT + " FROM rr JOIN mk ON mk.k = rr.k AND mk.s = rr.j AND masked GROUP BY alpha, mode, structural",
     "sage_mean_aggregate": _G + _VE + ", ex AS (SELECT s, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS x FROM ve) SELECT i, pos::INT AS pos, round(avg(x), 6) AS x FROM a JOIN ex ON ex.s = a.j GROUP BY i, pos",
 }

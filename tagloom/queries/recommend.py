@@ -101,13 +101,19 @@ def fixed(spark, d, alpha=0.9):
     return m.blend(structural(spark, d), gnn(spark, d), F.lit(alpha))
 
 
-def adaptive(spark, d, alpha=0.9, pivot=60):
-    """The structural part weighs less for nodes with few neighbours."""
+@once
+def confidence(spark, d, pivot=60):
+    """``i, j, w``: how far the structural score of a pair is to be trusted, by its nodes' neighbours."""
     deg = nodes(spark, d).join(g.degree(edges(spark, d)).withColumnRenamed("i", "s"), "s", "left").select("s", (F.coalesce("d", F.lit(0)) / (F.coalesce("d", F.lit(0)) + pivot)).alias("c"))
-    a = structural(spark, d).join(deg.select(F.col("s").alias("i"), F.col("c").alias("ci")), "i").join(deg.select(F.col("s").alias("j"), F.col("c").alias("cj")), "j")
-    w = F.sqrt(F.col("ci") * F.col("cj")) * alpha
-    a = a.select("i", "j", F.col("v").alias("va"), w.alias("w")).join(gnn(spark, d).withColumnRenamed("v", "vb"), ["i", "j"])
-    return a.select("i", "j", (F.col("w") * F.col("va") + (1 - F.col("w")) * F.col("vb")).alias("v"))
+    cells = cosine(spark, d).select("i", "j").join(deg.select(F.col("s").alias("i"), F.col("c").alias("ci")), "i").join(deg.select(F.col("s").alias("j"), F.col("c").alias("cj")), "j")
+    return cells.select("i", "j", F.sqrt(F.col("ci") * F.col("cj")).alias("w"))
+
+
+def adaptive(spark, d, alpha=0.9):
+    """The structural part weighs less for nodes with few neighbours."""
+    a = structural(spark, d).withColumnRenamed("v", "va").join(confidence(spark, d), ["i", "j"]).join(gnn(spark, d).withColumnRenamed("v", "vb"), ["i", "j"])
+    w = F.col("w") * alpha
+    return a.select("i", "j", (w * F.col("va") + (1 - w) * F.col("vb")).alias("v"))
 
 
 @once

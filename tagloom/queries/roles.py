@@ -92,7 +92,16 @@ def scatter_points(spark, d):
     return g.withColumn("o", F.when(F.col("have"), 0).otherwise(1)).orderBy("o", F.desc("score"), "skill").limit(18).select("skill", "have", F.least(F.lit(0.0), F.floor("lift")).cast("double").alias("low"), F.greatest(F.lit(1.0), F.ceil("lift")).cast("double").alias("high"))
 
 
+def role_heldout(spark, d):
+    known = split_items(spark, d, "train").select("s").distinct()
+    post, train = postings(spark, d).select("k", "role"), role_edges(spark, d)
+    out = [p.held_out(split_items(spark, d, x).join(known, "s", "left_semi").join(post, "k"), train, SUPPORT).withColumn("split", F.lit(x)) for x in ("val", "test")]
+    return out[0].unionByName(out[1])
+
+
 QUERIES = {
+    "role_heldout": role_heldout,
+    "role_you_have": lambda s, d: p.gap(one_role(s, d), have(s, d)).where("have").orderBy(F.desc("support"), "skill").limit(30).select("skill", "support", "lift"),
     "filter_include_exclude": lambda s, d: table(s, d, "postings").where(t.is_tech_title(F.col("job_title"))).select("posting_id", "job_title"),
     "case_role_assign": lambda s, d: _titles(s, d).select("posting_id", "role"),
     "case_seniority_assign": lambda s, d: _titles(s, d).select("posting_id", "level"),
@@ -137,6 +146,10 @@ _GAP = "SELECT {e}.skill, {e}.role, {e}.support, {e}.lift, h.skill IS NOT NULL A
 _H = ", h AS (SELECT DISTINCT p_name AS skill FROM part WHERE ascii(substr(p_name, 2, 1)) % 4 = 0)"
 
 ORACLE = {
+    "role_heldout": _R + """, ho AS (SELECT b.k, b.s, role, split FROM b JOIN sp USING (k) JOIN post USING (k) WHERE split <> 'train' AND b.s IN (SELECT s FROM t)),
+ht AS (SELECT split, role, count(DISTINCT k) AS total FROM ho GROUP BY ALL), hc AS (SELECT split, s AS skill, role, count(DISTINCT k) AS count FROM ho GROUP BY ALL)
+SELECT skill, role, count, split FROM hc JOIN ht USING (split, role) WHERE count >= 3 AND count / total::DOUBLE >= 0.06 AND NOT EXISTS (SELECT 1 FROM re WHERE re.skill = hc.skill AND re.role = hc.role)""",
+    "role_you_have": _R + _ONE + _H + " SELECT o.skill, o.support, o.lift FROM o JOIN h USING (skill) ORDER BY o.support DESC, o.skill LIMIT 30",
     "filter_include_exclude": f"SELECT posting_id, job_title FROM postings WHERE regexp_matches({_LOW}, {_q(t.INCLUDE)}) AND NOT regexp_matches({_LOW}, {_q(t.EXCLUDE)})",
     "case_role_assign": _TT + "SELECT posting_id, role FROM tt",
     "case_seniority_assign": _TT + "SELECT posting_id, level FROM tt",

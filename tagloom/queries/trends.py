@@ -40,6 +40,28 @@ def json_nested_explode(spark, d):
     return survey.modern_rows(docs, F.col("doc")).select("year", "block", "response", "frequency", "total_respondents")
 
 
+#: Blocks that the roles of the order tables stand for in the survey documents below.
+_BLOCK = {"AUTOMOBILE": "Language", "BUILDING": "Database", "FURNITURE": "Platform", "HOUSEHOLD": "SOTags", "MACHINERY": "DA_Language"}
+
+
+def survey_rows(spark, d):
+    """Survey documents with technology, topic and desire blocks, read by the nested scan."""
+    r = dated(spark, d)
+    total = r.groupBy("role", "year").agg(F.count_distinct("k").alias("t"))
+    c = r.groupBy("year", "role", "s").agg(F.count("*").alias("n")).join(total, ["role", "year"]).withColumn("p", F.round(F.col("n") / F.col("t").cast("double"), 6))
+    block = F.element_at(F.create_map(*[F.lit(x) for kv in _BLOCK.items() for x in kv]), F.col("role"))
+    data = F.sort_array(F.collect_list(F.struct(F.col("s").alias("response"), F.col("n").alias("frequency"), F.col("p").alias("percent"), F.col("p").alias("percent1"))))
+    b = c.withColumn("block", block).groupBy("year", "block").agg(F.struct(F.max("t").alias("total_respondents"), data.alias("data")).alias("x"))
+    b = b.select("year", "block", F.struct(F.map_from_arrays(F.array("block"), F.array("x")).alias("datasets")).alias("b"))
+    docs = b.groupBy(F.col("year").cast("string").alias("year")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("block", "b")))).alias("doc"))
+    return survey.modern_rows(docs, F.col("doc"))
+
+
+def survey_vocabulary(spark, d):
+    v = survey.vocabulary(survey_rows(spark, d))
+    return v.select("canonical", "key", F.array_join("aliases", "|").alias("aliases"), "category", F.array_join("years", "|").alias("years"), "max_frequency").orderBy(F.desc("max_frequency"), "canonical")
+
+
 def legacy_pct_trycast(spark, d):
     s = series(spark, d).withColumn("v", F.when(F.col("year") % 2 == 0, (F.col("share") * 100).cast("string")).otherwise("n/a"))
     graph = F.struct(F.lit("All Respondents").alias("Title"), F.map_from_entries(F.collect_list(F.struct("tech", "v"))).alias("Data"))
@@ -83,6 +105,10 @@ def membership_flag(spark, d):
 
 QUERIES = {
     "json_nested_explode": json_nested_explode,
+    "survey_vocabulary": survey_vocabulary,
+    "survey_adoption": lambda s, d: survey.adoption_rows(survey_rows(s, d)).select("tech", "year", "share", "category"),
+    "survey_desire": lambda s, d: survey.desire_rows(survey_rows(s, d)),
+    "survey_respondents": lambda s, d: survey.respondents(survey_rows(s, d)),
     "legacy_pct_trycast": legacy_pct_trycast,
     "filter_junk": lambda s, d: table(s, d, "final_mapping").where(~F.coalesce(n.is_no_answer(F.col("raw")), F.lit(False))).select("raw"),
     "canon_key": lambda s, d: table(s, d, "final_mapping").select("raw", n.canon_key(F.col("raw")).alias("key")),
@@ -121,7 +147,16 @@ def _renames(c: str, t: dict) -> str:
     return f"CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in t.items()) + f" ELSE {c} END"
 
 
+_BK = "CASE role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _BLOCK.items()) + " END"
+_CT = "CASE role " + " ".join(f"WHEN '{k}' THEN '{({**survey.BLOCKS, **survey.VOCABULARY_ONLY}).get(v)}'" for k, v in _BLOCK.items() if not v.startswith(survey.DESIRE)) + " END"
+_SV = _S + f""", ry AS (SELECT role, year, count(DISTINCT k) AS t FROM dt GROUP BY ALL), sv AS (SELECT s, role, year, {_BK} AS block, {_CT} AS category, count(*) AS n, round(count(*) / any_value(t)::DOUBLE, 6) AS p FROM dt JOIN ry USING (role, year) GROUP BY s, role, year)
+"""
+
 ORACLE = {
+    "survey_vocabulary": _SV + f"SELECT arg_max(s, (year, n, length(s), s)) AS canonical, {_norm('s')} AS key, any_value(s) AS aliases, string_agg(DISTINCT category, '/' ORDER BY category) AS category, string_agg(DISTINCT year::VARCHAR, '|' ORDER BY year::VARCHAR) AS years, max(n) AS max_frequency FROM sv WHERE category IS NOT NULL GROUP BY {_norm('s')} ORDER BY max_frequency DESC, canonical",
+    "survey_adoption": _SV + f"SELECT {_norm('s')} AS tech, year::VARCHAR AS year, max(p) AS share, any_value(c) AS category FROM sv JOIN (SELECT s, arg_min(category, (year, list_position(['Language', 'Database', 'Platform'], block))) AS c FROM sv WHERE block IN ('Language', 'Database', 'Platform') GROUP BY s) USING (s) WHERE block IN ('Language', 'Database', 'Platform') GROUP BY s, year",
+    "survey_desire": _SV + f"SELECT {_norm('s')} AS tech, year::VARCHAR AS year, max(p) AS share FROM sv WHERE block LIKE 'DA%' GROUP BY s, year",
+    "survey_respondents": _SV + "SELECT year::VARCHAR AS year, max(t) AS respondents FROM ry WHERE role IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') GROUP BY year",
     "json_nested_explode": _S + "SELECT year::VARCHAR AS year, role AS block, s AS response, count(*) AS frequency, sum(count(*)) OVER (PARTITION BY year, role)::BIGINT AS total_respondents FROM dt GROUP BY year, role, s",
     "legacy_pct_trycast": _S + "SELECT year::VARCHAR AS year, tech AS response, round(share, 6) AS percent FROM sr WHERE year % 2 = 0",
     "filter_junk": "SELECT raw FROM final_mapping WHERE NOT coalesce(regexp_matches(raw, '" + n.NO_ANSWER.replace("'", "''") + "'), false)",

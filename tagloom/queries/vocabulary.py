@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagloom.functions import names as n
@@ -10,6 +11,7 @@ from tagloom.operators.dedup import greedy_dedup
 from tagloom.operators.matrix import cosine_pairs
 from tagloom.plans.market import postings, table, with_
 from tagloom.queries.text import _TOK, token_counts, tokens
+from tagloom.sources.survey import flat_category
 
 
 def join_left(spark, d):
@@ -101,7 +103,33 @@ def _names(spark, d):
     return table(spark, d, "graph_nodes").select("name"), table(spark, d, "final_vocab").select(F.col("canonical").alias("name"))
 
 
+def tech_only(spark, d):
+    """Mentions of the entries whose category begins with tech, and of the others, which are dropped."""
+    v = table(spark, d, "final_vocab").select("canonical", "category")
+    j = mentions(spark, d).join(v, "canonical")
+    kept = F.coalesce(F.lower(F.trim("category")).startswith("tech"), F.lit(False)) & (F.col("canonical") != "")
+    return j.groupBy(kept.alias("kept")).agg(F.count("*").alias("terms"), F.sum("mentions").alias("mentions"))
+
+
+def dropped_mentions(spark, d):
+    """Terms and mentions that admission drops."""
+    keep = admitted(spark, d).select("canonical")
+    return mentions(spark, d).join(keep, "canonical", "left_anti").agg(F.count("*").alias("terms"), F.coalesce(F.sum("mentions"), F.lit(0)).alias("mentions"))
+
+
+def category_flatten(spark, d):
+    """Every name with all categories that list it, as one string."""
+    a = table(spark, d, "final_vocab").select(F.col("canonical").alias("name"), "category")
+    b = table(spark, d, "graph_nodes").select("name", "category")
+    c = a.unionByName(b).where("name is not null").groupBy("name").agg(F.array_sort(F.collect_set("category")).alias("c"))
+    return c.select("name", flat_category(F.col("c")).alias("category"))
+
+
 QUERIES = {
+    "tech_only": tech_only,
+    "dropped_mentions": dropped_mentions,
+    "category_flatten": category_flatten,
+    "vocabulary_ordered": lambda s, d: table(s, d, "final_vocab").select("canonical", "mentions", F.dense_rank().over(Window.partitionBy("category").orderBy(F.desc_nulls_last("mentions"))).alias("place")),
     "join_left": join_left,
     "mentions_union_sum": mentions,
     "mapping_override_union": mapping,
@@ -131,6 +159,10 @@ _RU = "WITH f AS (SELECT split_part(p_name, ' ', -1) AS category, p_name, year(o
 _W = f"WITH {_TOK}, {_MAP}, {_MEN}, {_SPR}, {_ADM} "
 
 ORACLE = {
+    "tech_only": _W + "SELECT coalesce(starts_with(lower(trim(category)), 'tech'), false) AND canonical <> '' AS kept, count(*) AS terms, sum(mentions)::BIGINT AS mentions FROM men JOIN (SELECT canonical, category FROM final_vocab) USING (canonical) GROUP BY 1",
+    "dropped_mentions": _W + "SELECT count(*) AS terms, coalesce(sum(mentions), 0)::BIGINT AS mentions FROM men WHERE canonical NOT IN (SELECT canonical FROM adm)",
+    "category_flatten": "SELECT name, coalesce(string_agg(DISTINCT category, '/' ORDER BY category), '') AS category FROM (SELECT canonical AS name, category FROM final_vocab UNION ALL SELECT name, category FROM graph_nodes) WHERE name IS NOT NULL GROUP BY name",
+    "vocabulary_ordered": "SELECT canonical, mentions, dense_rank() OVER (PARTITION BY category ORDER BY mentions DESC NULLS LAST) AS place FROM final_vocab",
     "join_left": "SELECT clean_id, count(*) AS n_rows, max(posted_at) AS last_posted FROM postings_clean LEFT JOIN postings USING (job_link) GROUP BY clean_id",
     "mentions_union_sum": _W + "SELECT * FROM men",
     "mapping_override_union": _W + "SELECT * FROM mp",
