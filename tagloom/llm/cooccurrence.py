@@ -22,7 +22,7 @@ from tagloom.plans.lineage import cut
 STRIPE_PAIRS = 2_000_000
 #: Items whose frequency is known to the tasks, a bound on what is sent to them; the order
 #: of the others, all rarer than these, is by hash.
-TOP_ITEMS = 20_000
+TOP_ITEMS = 60_000
 #: The 95 % point of chi-squared with one degree of freedom.
 SIGNIFICANT = 3.841
 

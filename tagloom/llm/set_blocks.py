@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tagloom.llm.term_frequency import array_term_counts
 from tagloom.plans.lineage import cut
 
-#: Tokens whose frequency is known to the tasks: a bound on what is sent to them.
-TOP_TOKENS = 20_000
+#: Tokens whose frequency is known to the tasks: a bound on what is sent to them, and on two bytes.
+TOP_TOKENS = 60_000
 BLOCK_ROWS = 60_000
 CELL_ROWS = 20_000
 #: Tokens of a set that is still sent whole to each of its cells.
@@ -108,9 +108,9 @@ class Sets:
         return m.select("id", "side", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def classes(self) -> DataFrame:
-        """``rep, side, gk, size, hashed, tokens``: one record of each class."""
+        """``rep, side, gk, size, hashed, tokens``: one record of each class; written once."""
         first = self.rows.join(self.repeated, ["k1", "k2"], "left").where("rep is null or id = rep")
-        return first.select(F.col("id").alias("rep"), "side", "gk", "size", "hashed", "tokens")
+        return cut(first.select(F.col("id").alias("rep"), "side", "gk", "size", "hashed", "tokens"), hashes=True)
 
 
 def as_sets(df: DataFrame, id_col: str, set_col: str, group: Column | None = None, side: Column | None = None) -> Sets:
@@ -122,8 +122,8 @@ def as_sets(df: DataFrame, id_col: str, set_col: str, group: Column | None = Non
     g = F.coalesce(group, F.lit("")) if group is not None else F.lit("")
     side = side if side is not None else F.lit(0)
     slim = df.where(F.size(set_col) >= 2).select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), F.xxhash64(g).alias("gk"), F.col(set_col).alias("s"))
-    slim = slim.where("side is not null and id is not null")
-    found = array_term_counts(slim, F.col("s")).orderBy(F.desc("records"), "term").limit(TOP_TOKENS).collect()
+    # over all rows, whatever their side: an order of the tokens, and at least their records
+    found = array_term_counts(df.where(F.size(set_col) >= 2), F.col(set_col)).orderBy(F.desc("records"), "term").limit(TOP_TOKENS).collect()
     found.reverse()  # rarest first
     top, frequency = [r["term"] for r in found], [r["records"] for r in found]
 
@@ -133,7 +133,7 @@ def as_sets(df: DataFrame, id_col: str, set_col: str, group: Column | None = Non
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lists = batch.column(3)
+            ids, sides, lists = batch.column(0), batch.column(1), batch.column(3)
             size = np.diff(np.asarray(lists.offsets).astype(np.int64))
             flat = lists.flatten()
             there = np.asarray(flat.is_valid()).astype(bool)
@@ -147,7 +147,7 @@ def as_sets(df: DataFrame, id_col: str, set_col: str, group: Column | None = Non
             row, token = row[once], token[once]
             off = np.searchsorted(row, np.arange(len(size) + 1))
             h = np.where(token >= 0, hashes[np.maximum(token, 0)], token)
-            side, gk = np.asarray(batch.column(1)).astype(np.int64), np.asarray(batch.column(2))
+            side, gk = np.asarray(sides.fill_null(0)).astype(np.int64), np.asarray(batch.column(2))
             keys = []
             for seed in (1, 2):
                 with np.errstate(over="ignore"):
@@ -155,12 +155,12 @@ def as_sets(df: DataFrame, id_col: str, set_col: str, group: Column | None = Non
                     keys.append(mix(mix(total[off[1:]] - total[off[:-1]], gk), side + seed))
             hashed = np.concatenate([[0], np.cumsum(token < 0)])
             n = np.diff(off)
-            ok = n > 1
-            cols = [batch.column(0), batch.column(1), pa.array(keys[0]), pa.array(keys[1]), batch.column(2), pa.array(n.astype(np.int32)), pa.array((hashed[off[1:]] - hashed[off[:-1]]).astype(np.int32)), binary(*packed(token, off))]
+            ok = (n > 1) & np.asarray(ids.is_valid()).astype(bool) & np.asarray(sides.is_valid()).astype(bool)
+            cols = [ids, sides, pa.array(keys[0]), pa.array(keys[1]), batch.column(2), pa.array(n.astype(np.int32)), pa.array((hashed[off[1:]] - hashed[off[:-1]]).astype(np.int32)), binary(*packed(token, off))]
             out = pa.RecordBatch.from_arrays(cols, ["id", "side", "k1", "k2", "gk", "size", "hashed", "tokens"])
             yield out if ok.all() else out.filter(pa.array(ok))
 
-    rows = cut(slim.mapInArrow(encode, "id long, side int, k1 long, k2 long, gk long, size int, hashed int, tokens binary"))
+    rows = cut(slim.mapInArrow(encode, "id long, side int, k1 long, k2 long, gk long, size int, hashed int, tokens binary"), hashes=True)
     return Sets(rows, top, frequency)
 
 
