@@ -40,10 +40,13 @@ def new_path(spark: SparkSession, name: str = "table") -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder; later uses read it and survive lost executors."""
+def cut(df: DataFrame, hashes: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder; later uses read it and survive lost executors.
+
+    ``hashes``: it holds hashes or the like, for which no dictionary is tried.
+    """
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**({"parquet.enable.dictionary": "false"} if hashes else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
