@@ -25,14 +25,18 @@ def greedy_dedup(df: DataFrame, key: str, group: str, items: str, threshold: flo
     g = F.coalesce(F.col(group).cast("string"), F.lit("␀"))
     rows = df.select(F.col(key).alias("k"), g.alias("g"), F.array_sort(F.array_distinct(F.coalesce(F.col(items), F.array().cast("array<string>")))).alias("s"))
     first = cut(rows.groupBy("g", "s").agg(F.min("k").alias("k")))
-    n = F.size("s")
-    prefix = F.slice("s", 1, (n - F.ceil(n * num / den) + 1).cast("int"))
-    p = first.select("g", "k", "s", F.explode(prefix).alias("t"))
-    a, b = p.select("g", "t", F.col("k").alias("late"), F.col("s").alias("x")), p.select("g", "t", F.col("k").alias("early"), F.col("s").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    size = F.size("x") + F.size("y")
-    pairs = a.join(b, ["g", "t"]).where((F.col("early") < F.col("late")) & (F.least(F.size("x"), F.size("y")) * den >= F.greatest(F.size("x"), F.size("y")) * num))
-    pairs = cut(pairs.where(both * (num + den) >= size * num).select("late", "early").distinct())
+    tokens = first.select("g", "k", F.size("s").alias("n"), F.explode("s").alias("t"))
+    often = tokens.groupBy("t").agg(F.count("*").alias("f"))
+    # rarest first: such a token is shared by few sets, and only ids meet on it
+    ordered = tokens.join(often, "t").groupBy("g", "k", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("a"))
+    n = F.col("n")
+    p = ordered.select("g", "k", "n", F.explode(F.slice("a", 1, (n - F.ceil(n * num / den) + 1).cast("int"))).alias("x")).select("g", "x.t", "k", "n")
+    a, b = p.select("g", "t", F.col("k").alias("late"), "n"), p.select("g", "t", F.col("k").alias("early"), F.col("n").alias("m"))
+    near = a.join(b, ["g", "t"]).where((F.col("early") < F.col("late")) & (F.least("n", "m") * den >= F.greatest("n", "m") * num)).select("late", "early").distinct()
+    sets = first.select("k", "s")
+    near = near.join(sets.select(F.col("k").alias("late"), F.col("s").alias("x")), "late").join(sets.select(F.col("k").alias("early"), F.col("s").alias("y")), "early")
+    both, size = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    pairs = cut(near.where(both * (num + den) >= size * num).select("late", "early"))
     state = cut(first.select("k", F.when(F.size("s") >= 0, F.lit(None).cast("boolean")).alias("keep")))
     while True:
         seen = pairs.join(state.select(F.col("k").alias("early"), F.col("keep").alias("kept")), "early")
