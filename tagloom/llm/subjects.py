@@ -8,8 +8,8 @@
    subjects, so each of its words is shared among them and none by the classifier's
    ratios and the document's own mixture; the shares are the next round's counts.
 4. For each subject the evidence of the labelled documents, each classified by a model from
-   which its own words are taken out, is calibrated to a posterior of its own by logistic
-   regression; posteriors needn't add up to one.
+   which what its own labels taught is taken out, is calibrated to a posterior of its own by
+   logistic regression; posteriors needn't add up to one.
 """
 
 from __future__ import annotations
@@ -327,15 +327,14 @@ def fit(feats: DataFrame, labelled: DataFrame, names: list[str], rounds: int = 2
     sizes, all_counts, last = counts.sum(0), counts.astype(np.float32), before
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Evidence of labelled documents from counts without their own words."""
+        """Evidence of labelled documents from counts without what their labels taught: they then stand as all others do."""
         for batch in batches:
             if not batch.num_rows:
                 continue
             row, ids, tf = _flat(batch)
             y = y_of(batch)
             if rounds:
-                own, _ = shares(last[ids], row, tf, batch.num_rows)
-                own = own + (_LABEL_WEIGHT - 1) * shares(last[ids], row, tf, batch.num_rows, prior=_mixture_of(y))[0]
+                own = (_LABEL_WEIGHT - 1) * shares(last[ids], row, tf, batch.num_rows, prior=_mixture_of(y))[0]
             else:
                 own = tf[:, None] * (y / np.maximum(y.sum(1, keepdims=True), 1e-9))[row]
             ratio = complement_ratios(np.maximum(all_counts[ids] - own, 0), sizes, buckets)
