@@ -191,7 +191,7 @@ def cooccurrence(records: DataFrame, items: Column) -> DataFrame:
     gives no rows; records of any length go through in parts of bounded size.
     """
     spark = records.sparkSession
-    s = F.array_distinct(F.filter(items, lambda x: x.isNotNull()))
+    s = F.array_distinct(F.filter(items.cast("array<string>"), lambda x: x.isNotNull()))
     sets = records.select(s.alias("s")).where(F.size("s") >= 2)
     # one row per item, and the null item for all records; read three times below
     counts = cut(array_term_counts(sets, F.col("s"), with_total=True).select(F.col("term").alias("item"), F.col("records").alias("n")))

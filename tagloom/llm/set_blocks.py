@@ -121,7 +121,7 @@ def as_sets(df: DataFrame, id_col: str, set_col: str, group: Column | None = Non
     """
     g = F.coalesce(group, F.lit("")) if group is not None else F.lit("")
     side = side if side is not None else F.lit(0)
-    slim = df.where(F.size(set_col) >= 2).select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), F.xxhash64(g).alias("gk"), F.col(set_col).alias("s"))
+    slim = df.where(F.size(set_col) >= 2).select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), F.xxhash64(g).alias("gk"), F.col(set_col).cast("array<string>").alias("s"))
     # over all rows, whatever their side: an order of the tokens, and at least their records
     found = array_term_counts(df.where(F.size(set_col) >= 2), F.col(set_col)).orderBy(F.desc("records"), "term").limit(TOP_TOKENS).collect()
     found.reverse()  # rarest first

@@ -57,7 +57,7 @@ def array_term_counts(records: DataFrame, terms: Column, unpack: Callable | None
                 names, occurrences, held = [*names, None], np.append(occurrences, 0), np.append(held, len(np.unique(row)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(occurrences), pa.array(held)], ["term", "occurrences", "records"])
 
-    rows = records.select(terms.alias("t")).mapInArrow(run, "term string, occurrences long, records long")
+    rows = records.select((terms if unpack else terms.cast("array<string>")).alias("t")).mapInArrow(run, "term string, occurrences long, records long")
     return rows.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

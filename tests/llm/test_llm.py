@@ -146,6 +146,14 @@ def test_maximal_matches(spark):
     assert (got["overlap"], got["spans"], got["longest"]) == (9, 2, 5)
 
 
+def test_sets_of_numbers_and_clashing_columns(spark):
+    rows = [(1, [1, 2, 3], "x"), (2, [3, 2, 1, None], "y"), (3, [1, 2, 3, 4], None), (4, [9], "z"), (None, [1, 2, 3], "z")]
+    df = spark.createDataFrame(rows, "id int, v array<int>, s string").withColumn("k1", F.lit(0)).withColumn("gk", F.lit("g")).withColumn("tokens", F.lit(1)).withColumn("size", F.lit(7))
+    assert sorted(all_pairs(similar_classes(df, "id", "v", 0.6))) == [(1, 2), (1, 3), (2, 3)]
+    assert {(r["source"], r["target"]): r["n_ab"] for r in cooccurrence(df, F.col("v")).collect()}["1", "2"] == 4
+    assert {r["term"]: r["records"] for r in term_frequency.array_term_counts(df, F.col("v")).collect()}["9"] == 1
+
+
 def test_joins_on_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert all_pairs(similar_classes(df, "id", "skills", 0.6)) == []
