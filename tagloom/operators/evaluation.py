@@ -14,10 +14,20 @@ def mask(items: DataFrame, least: int = 4) -> DataFrame:
     The items come in the order of a hash of basket and item, so the choice is the same
     at every run and in every engine.
     """
+    b = _hashed(items, least)
+    return b.select("k", "n", F.posexplode("a").alias("pos", "x")).select("k", F.col("x.s").alias("s"), (F.col("pos") < F.col("n")).alias("masked"))
+
+
+def parted(items: DataFrame, least: int = 4) -> DataFrame:
+    """``k, known, masked``: :func:`mask` as two arrays per basket."""
+    b = _hashed(items, least)
+    return b.select("k", F.expr("slice(a.s, int(n) + 1, size(a))").alias("known"), F.expr("slice(a.s, 1, int(n))").alias("masked"))
+
+
+def _hashed(items: DataFrame, least: int) -> DataFrame:
     order = F.md5(F.concat_ws("|", F.col("k").cast("string"), "s"))
     b = items.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "s"))).alias("a")).where(F.size("a") >= least)
-    n = F.greatest(F.lit(1), F.floor(F.size("a") / 3))
-    return b.select("k", n.alias("n"), F.posexplode("a").alias("pos", "x")).select("k", F.col("x.s").alias("s"), (F.col("pos") < F.col("n")).alias("masked"))
+    return b.select("k", "a", F.greatest(F.lit(1), F.floor(F.size("a") / 3)).alias("n"))
 
 
 def basket_scores(masked: DataFrame, scores: DataFrame, *values: str) -> DataFrame:

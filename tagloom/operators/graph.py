@@ -20,9 +20,13 @@ def pair_counts(items: DataFrame) -> DataFrame:
     The baskets are gathered once and their pairs generated in place, so the items are
     shuffled once by basket and the partly summed pairs once more.
     """
-    b = items.groupBy("k").agg(F.array_sort(F.collect_set("s")).alias("a")).where(F.size("a") >= 2)
+    return array_pairs(items.groupBy("k").agg(F.array_sort(F.collect_set("s")).alias("a")).where(F.size("a") >= 2))
+
+
+def array_pairs(baskets: DataFrame) -> DataFrame:
+    """``source, target, count`` of baskets that are gathered already: ``a``, the sorted items of each."""
     pairs = F.flatten(F.transform("a", lambda x, i: F.transform(F.slice("a", i + 2, F.size("a")), lambda y: F.struct(x.alias("source"), y.alias("target")))))
-    return b.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("count"))
+    return baskets.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("count"))
 
 
 def doc_freq(items: DataFrame) -> DataFrame:
@@ -35,10 +39,18 @@ def pmi(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
 
 def pmi_edges(items: DataFrame, least: int = 3) -> DataFrame:
     """``source, target, count, pmi``: pairs with enough joint baskets and positive PMI."""
-    freq, n = doc_freq(items), items.agg(F.count_distinct("k").alias("n"))
+    return _positive(pair_counts(items), doc_freq(items), items.agg(F.count_distinct("k").alias("n")), least)
+
+
+def basket_edges(baskets: DataFrame, least: int = 3) -> DataFrame:
+    """:func:`pmi_edges` of baskets that are gathered already, ``k, a``: only sums are shuffled."""
+    return _positive(array_pairs(baskets), doc_freq(baskets.select(F.explode("a").alias("s"))), baskets.agg(F.count("k").alias("n")), least)
+
+
+def _positive(pairs: DataFrame, freq: DataFrame, n: DataFrame, least: int) -> DataFrame:
     a = freq.select(F.col("s").alias("source"), F.col("doc_freq").alias("fa"))
     b = freq.select(F.col("s").alias("target"), F.col("doc_freq").alias("fb"))
-    e = pair_counts(items).where(F.col("count") >= least).join(a, "source").join(b, "target").join(F.broadcast(n))
+    e = pairs.where(F.col("count") >= least).join(a, "source").join(b, "target").join(F.broadcast(n))
     v = pmi(F.col("count"), F.col("fa"), F.col("fb"), F.col("n"))
     return e.withColumn("v", v).where("v > 0").select("source", "target", "count", F.round("v", 4).alias("pmi"))
 

@@ -8,9 +8,10 @@ from tagloom.operators import evaluation as e
 from tagloom.operators import graph as g
 from tagloom.operators import matrix as m
 from tagloom.operators.ranking import running
+from tagloom.operators.sweep import blended_hits
 from tagloom.plans.lineage import cut
-from tagloom.plans.market import split_items
-from tagloom.queries.recommend import _BL, _G, _IDX, _VE, _session, allocation, confidence, edges, gnn, heuristic_scores, nodes, query, vectors
+from tagloom.plans.market import baskets, split_items, split_of
+from tagloom.queries.recommend import _BL, _G, _IDX, _VE, _session, allocation, cosine, edges, heuristic_scores, nodes, query, trusted, vectors
 
 ALPHAS = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 
@@ -47,25 +48,28 @@ def auc_by_band(spark, d):
 def alpha_sweep(spark, d):
     """Hits and reciprocal rank for each weight, fixed and adaptive, and each structural index.
 
-    The blends are linear in their parts, so each part is summed per candidate once:
-    the structural score plain and weighted by the pair's confidence, and the other
-    likewise.
+    The join of the largest table is made once, for baskets that are written with their
+    items; the graph and the masked baskets come from these.
     """
-    mk = e.mask(split_items(_session(spark), d, "test").join(nodes(spark, d), "s", "left_semi"))
-    out = None
-    for name in g.INDICES:
-        z = m.standardise(g.INDICES[name](edges(spark, d)), nodes(spark, d))
-        z0 = z.agg(F.first("z0").alias("z0"))
-        both = gnn(spark, d).withColumnRenamed("v", "b").join(z.select("i", "j", F.col("v").alias("a")), ["i", "j"], "left").join(F.broadcast(z0))
-        both = both.join(confidence(spark, d), ["i", "j"]).select("i", "j", F.coalesce("a", "z0").alias("a"), "b", (F.col("w") * F.coalesce("a", "z0")).alias("wa"), (F.col("w") * F.col("b")).alias("wb"))
-        c = e.basket_scores(mk, both, "a", "b", "wa", "wb")
-        modes = [F.struct(F.lit(x).alias("alpha"), F.lit(y).alias("mode")) for x in ALPHAS for y in ("fixed", "adaptive") if x or y == "fixed"]
-        c = cut(c).withColumn("x", F.explode(F.array(*modes))).select("k", "j", "a", "b", "wa", "wb", "x.alpha", "x.mode")
-        plain = F.col("alpha") * F.col("a") + (1 - F.col("alpha")) * F.col("b")
-        score = F.when(F.col("mode") == "fixed", plain).otherwise(F.col("alpha") * F.col("wa") + F.col("b") - F.col("alpha") * F.col("wb"))
-        h = e.hits(e.target_ranks(mk, c, score, ("k", "alpha", "mode")), "alpha", "mode").withColumn("structural", F.lit(name))
-        out = h if out is None else out.unionByName(h)
-    return out
+    gathered = cut(baskets(_session(spark), d))
+    t = gathered.where(split_of(F.col("k")) == "train").withColumnRenamed("skills", "a")
+    # what the other tables of the query start from
+    spark.written |= {"edges": cut(g.basket_edges(t)), "nodes": cut(t.select(F.explode("a").alias("s")).distinct())}
+    x, n, cos = edges(spark, d), nodes(spark, d), cosine(spark, d)
+    others = {}
+    for name, index in g.INDICES.items():
+        z = cut(m.standardise(index(x), n))
+        if first := z.first():  # without edges there is no index
+            others[name] = z, first["z0"]
+    b = cos.agg(F.avg("v").alias("mu"), F.greatest(F.stddev_samp("v"), F.lit(1e-8)).alias("sd"))
+    b = cos.join(F.broadcast(b)).select("i", "j", ((F.col("v") - F.col("mu")) / F.col("sd")).alias("v"))
+    trust = {r["s"]: r["c"] for r in trusted(spark, d).collect()}
+    copies = {r["s"]: r["count"] for r in vectors(spark, d).where("v is not null").groupBy("s").count().collect()}
+    test = gathered.where(split_of(F.col("k")) == "test").select("k", F.explode("skills").alias("s")).join(n, "s", "left_semi")
+    # the number of tasks follows the setting, not the bytes: a basket is few bytes and much work
+    test = test.repartition(int(_session(spark).conf.get("spark.sql.shuffle.partitions")), "k")
+    modes = [(a, mode) for a in ALPHAS for mode in ("fixed", "adaptive") if a or mode == "fixed"]
+    return blended_hits(e.parted(test), b, others, trust, copies, modes)
 
 
 def _negatives(spark, d):

@@ -101,10 +101,15 @@ def fixed(spark, d, alpha=0.9):
     return m.blend(structural(spark, d), gnn(spark, d), F.lit(alpha))
 
 
+def trusted(spark, d, pivot=60):
+    """``s, c``: how far structural scores of a node are to be trusted, by its neighbours."""
+    return nodes(spark, d).join(g.degree(edges(spark, d)).withColumnRenamed("i", "s"), "s", "left").select("s", (F.coalesce("d", F.lit(0)) / (F.coalesce("d", F.lit(0)) + pivot)).alias("c"))
+
+
 @once
-def confidence(spark, d, pivot=60):
+def confidence(spark, d):
     """``i, j, w``: how far the structural score of a pair is to be trusted, by its nodes' neighbours."""
-    deg = nodes(spark, d).join(g.degree(edges(spark, d)).withColumnRenamed("i", "s"), "s", "left").select("s", (F.coalesce("d", F.lit(0)) / (F.coalesce("d", F.lit(0)) + pivot)).alias("c"))
+    deg = trusted(spark, d)
     cells = cosine(spark, d).select("i", "j").join(deg.select(F.col("s").alias("i"), F.col("c").alias("ci")), "i").join(deg.select(F.col("s").alias("j"), F.col("c").alias("cj")), "j")
     return cells.select("i", "j", F.sqrt(F.col("ci") * F.col("cj")).alias("w"))
 
